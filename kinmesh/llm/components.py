@@ -1,0 +1,48 @@
+"""Connected components by contraction: every round each node adopts its smallest neighbour, parents are
+shortened twice, and links are rewritten between parents until none is left.  A star of any size goes in one
+round, a path shrinks by a factor a round.  Nothing is collected; each round's tables lie in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinmesh.llm.shared import keep
+
+MOST_ROUNDS = 60
+
+
+def component_minimum(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b) of linked nodes; nodes (node, least).  Returns node, root (the smallest node of its
+    component), root_least (the smallest non-null least there), for each node that has a link."""
+    edges = pairs.select("a", "b")
+    labels = None
+    for n in range(MOST_ROUNDS):
+        parents = (
+            edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
+            .groupBy(F.col("e.u").alias("u"))
+            .agg(F.min("e.v").alias("v"))
+            .select("u", F.least("u", "v").alias("p"))
+        )
+        for _ in range(2):
+            parents = keep(parents, f"parents{n}")
+            up = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            parents = parents.join(up, "p").select("u", F.col("q").alias("p"))
+        parents = keep(parents, f"parents{n}")
+        if labels is None:
+            labels = parents.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        else:
+            labels = labels.join(parents, labels.root == parents.u, "left").select("node", F.coalesce("p", "root").alias("root"))
+        labels = keep(labels, f"labels{n}")
+        left = parents.select(F.col("u").alias("a"), F.col("p").alias("pa"))
+        right = parents.select(F.col("u").alias("b"), F.col("p").alias("pb"))
+        edges = keep(
+            edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
+            f"edges{n}",
+        )
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components are not done after {MOST_ROUNDS} rounds")
+    least = labels.join(nodes, "node").groupBy("root").agg(F.min("least").alias("root_least"))
+    return labels.join(least, "root").select("node", "root", "root_least")
