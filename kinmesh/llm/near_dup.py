@@ -145,7 +145,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     pairs = keep(links(nodes.repartition(partitions(spark), "fp")), "links")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     roots = component_minimum(pairs, nodes.select(F.col("fp").alias("node"), "least"))
-    of = nodes.join(roots, nodes.fp == roots.node, "left").join(degree, "fp", "left").select(
+    # a table of its own, so that the join below stands alone and its hot fingerprints can be split
+    of = keep(nodes.join(roots, nodes.fp == roots.node, "left").join(degree, "fp", "left").select(
         "fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root_least")).alias("component_id"), "n_same", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    ), "groups")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same", "n_links")

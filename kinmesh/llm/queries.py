@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import near_dup, secrets
+from kinmesh.llm import near_dup, quality, secrets, tiff
 from kinmesh.llm.shared import table
 
 
@@ -12,9 +12,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_report(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_simhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_tiff_pages, op4_quality_rules, op5_simhash_near_dup)}
 ORACLES: dict[str, str] = {}
