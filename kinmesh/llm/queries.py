@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import near_dup, quality, secrets, tiff
+from kinmesh.llm import near_dup, packing, quality, secrets, tiff
 from kinmesh.llm.shared import table
 
 
@@ -24,5 +24,9 @@ def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_tiff_pages, op4_quality_rules, op5_simhash_near_dup)}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_tiff_pages, op4_quality_rules, op5_simhash_near_dup, op6_best_fit_packing)}
 ORACLES: dict[str, str] = {}
