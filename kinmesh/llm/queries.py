@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import near_dup, packing, quality, secrets, tiff
+from kinmesh.llm import mixing, near_dup, packing, quality, rans, secrets, tiff
 from kinmesh.llm.shared import table
 
 
@@ -28,5 +28,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_tiff_pages, op4_quality_rules, op5_simhash_near_dup, op6_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op10_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_file_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for n, f in sorted(globals().items()) if n.startswith("op") and n[2].isdigit()}
+ORACLES: dict[str, str] = {"op9_weighted_fair_mix": mixing.SQL}

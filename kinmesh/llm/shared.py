@@ -20,12 +20,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+#: Shuffle files of a write are let go when it ends: what it wrote is read from then on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost
     executors, and fixes what a later read sees (row ids, partition numbers)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/kept/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
