@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
 #: Nodes times distinct lengths that the search may visit.
-WORK = 100_000
+WORK = 20_000
 #: Fillings tried at a node, and the steps that look for them.
 FILLINGS, STEPS = 24, 4000
 

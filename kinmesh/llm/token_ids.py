@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 #: Words of either generation of a cache; when the young one is full, it becomes the old one.
-CACHED = 1 << 17
+CACHED = 1 << 19
 #: Letters or numbers, then stops: a pre-token ends between the two.
 STOPPED = re.compile(r"([^\W_]+)([.,!?;:]+)")
 
