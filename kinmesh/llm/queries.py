@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import mixing, near_dup, packing, quality, rans, secrets, tiff
+from kinmesh.llm import html_crf, licenses, mixing, near_dup, packing, quality, rans, secrets, tiff, warc
 from kinmesh.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
