@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from kinmesh.functions.text import is_missing
 
-N = F.count(F.lit(1))
 
 
 def exact_duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond the first of each group of equal ones, and such groups.  Grouped by a hash and length; the values don't travel."""
     key = [F.sha2(F.to_json(F.struct(*columns)), 256).alias("k")]
-    by = rows.groupBy(*key).agg(N.alias("n")).where("n > 1")
-    return by.agg(F.sum(F.col("n") - 1).alias("extra_rows"), N.alias("groups"))
+    by = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return by.agg(F.sum(F.col("n") - 1).alias("extra_rows"), F.count(F.lit(1)).alias("groups"))
 
 
 def near_duplicates(rows: DataFrame, key: str, time: str, others: list[str], seconds: int = 60) -> DataFrame:
@@ -29,12 +28,12 @@ def near_duplicates(rows: DataFrame, key: str, time: str, others: list[str], sec
 def missingness(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     kinds = dict(rows.dtypes)
     test = lambda c: is_missing(F.col(c)) if kinds[c] == "string" else F.col(c).isNull()
-    return rows.groupBy(*by).agg(N.alias("total"), *(F.count_if(test(c)).alias(f"{c}_missing") for c in columns))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(test(c)).alias(f"{c}_missing") for c in columns))
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
-    lost = child.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti").agg(N.alias("orphans"))
-    return lost.join(child.agg(N.alias("total")))
+    lost = child.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    return lost.join(child.agg(F.count(F.lit(1)).alias("total")))
 
 
 def category_variants(columns: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -159,7 +159,7 @@ def fs_weights(s):
 
 
 @query(
-    f"SELECT l, r, round(1 / (1 + pow(2.0::DOUBLE, -(coalesce(w, 0) + (SELECT weight FROM {_FS} WHERE event = 'prior')))), 4) AS posterior FROM (SELECT l, r, sum(weight) AS w FROM (SELECT l, r, unnest(CASE WHEN len(evidence) + len(conflicts) = 0 THEN [NULL] ELSE list_transform(evidence, lambda x: 'evidence:' || x) || list_transform(conflicts, lambda x: 'conflict:' || x) END) AS event FROM scored) LEFT JOIN {_FS} USING (event) GROUP BY ALL)",
+    f"SELECT l, r, round(round(1 / (1 + pow(2.0::DOUBLE, -(coalesce(w, 0) + (SELECT weight FROM {_FS} WHERE event = 'prior')))), 6), 4) AS posterior FROM (SELECT l, r, sum(weight) AS w FROM (SELECT l, r, unnest(CASE WHEN len(evidence) + len(conflicts) = 0 THEN [NULL] ELSE list_transform(evidence, lambda x: 'evidence:' || x) || list_transform(conflicts, lambda x: 'conflict:' || x) END) AS event FROM scored) LEFT JOIN {_FS} USING (event) GROUP BY ALL)",
     "scored",
 )
 def fs_scores(s):
@@ -209,7 +209,7 @@ def binary_metrics(s):
 
 
 @query(
-    "SELECT event_type AS source, max(ts) AS window_end, arg_max(n, (ts, n)) AS n FROM (SELECT event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events) WHERE n >= ceil(0.01::DOUBLE * 0 + 2) GROUP BY ALL"
+    "SELECT event_type AS source, max(ts) AS window_end, arg_max(n, (ts, n)) AS n FROM (SELECT event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events) WHERE n >= 2 GROUP BY ALL"
 )
 def dense_window(s):
     """The latest window of ten minutes with two or more events, by event type."""
