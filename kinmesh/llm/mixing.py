@@ -74,7 +74,9 @@ def take(sized: DataFrame) -> DataFrame:
     order = [F.col("turn"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("row")]
     rows = keep(_running(rows, ["source"], "bucket", order, "done").join(own, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "bucket"), "mix")
     uses = rows.where("size > 0").select("row", "doc_id", "source", "size", "turn", "budget", F.explode(F.array([F.struct(F.lit(n).alias("round"), ((F.lit(n).cast("long") * F.col("source_size") + F.col("done")) / F.col("target")).alias("finish")) for n in range(MOST)])).alias("use")).select("*", "use.round", "use.finish").drop("use")
-    uses = uses.withColumn("range", F.floor(F.least("finish", F.lit(2.0)) * RANGES))
+    # even steps up to 1, where nearly all that is taken ends; even ratios beyond, however late the last one is
+    late = F.lit(1.0) + F.log2(F.greatest("finish", F.lit(1.0)))
+    uses = uses.withColumn("range", F.floor(F.least(F.col("finish"), late) * RANGES))
     by = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("turn"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("round"), F.col("row")]
     placed = _running(uses, [], "range", by, "spent")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - (F.col("spent") - F.col("size"))))
