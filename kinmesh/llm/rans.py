@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,10 +42,12 @@ BLOCK = struct.Struct("<IIIIII")
 VERSION = 1
 SCALE = 20
 LOW = np.uint64(1 << 31)
-BLOCK_TOKENS = 1 << 17
-LANES = 512
-CHECK_STEPS = 64
+BLOCK_TOKENS = 1 << 19
+LANES = 2048
+CHECK_STEPS = 128
 SEGMENT_TOKENS = 1 << 20
+#: Text that is encoded at once.
+SLICE_BYTES = 2 << 20
 
 
 class RansError(ValueError):
@@ -59,7 +62,7 @@ class Table:
         if int(self.freq.sum()) not in (0, 1 << SCALE):
             raise RansError("frequencies don't fill the scale")
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(self.freq) else self.freq
-        self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
 
     @classmethod
@@ -194,6 +197,18 @@ CHUNK = "task int, segment int, n_tokens long, doc_ids array<bigint>, lengths ar
 SEGMENT = "task int, segment int, n_tokens long, data binary"
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with SLICE_BYTES of text or a little more."""
+    size, begin = 0, 0
+    for at, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        size += n or 0
+        if size >= SLICE_BYTES:
+            yield batch.slice(begin, at + 1 - begin)
+            size, begin = 0, at + 1
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def token_chunks(docs: DataFrame, path: str, n_partitions: int) -> DataFrame:
     """Rows of about SEGMENT_TOKENS tokens of consecutive documents in order (task, segment)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -202,23 +217,22 @@ def token_chunks(docs: DataFrame, path: str, n_partitions: int) -> DataFrame:
 
     def run(batches):
         task, segment = TaskContext.get().partitionId(), 0
-        encode = encoder(path, False).encode
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        encode = encoder(path, False).batch
         keys, lengths, held, size = [], [], [], 0
 
         def turn():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            narrow = ids.astype("<u2") if not len(ids) or int(ids.max()) < 1 << 16 else ids
+            ids = np.concatenate(held)
+            narrow = ids.astype("<u2") if int(ids.max()) < 1 << 16 else ids.astype("<u4")
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((task, segment, len(ids), keys, lengths, narrow.tobytes()), kinds)], names=[x.split()[0] for x in CHUNK.split(", ")])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                keys.append(key)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                size += lengths[-1]
+            for part in slices(batch):
+                ids, n = encode(part.column(1))
+                held.append(np.insert(ids, np.cumsum(n), END_ID))
+                keys += part.column(0).to_pylist()
+                lengths += (n + 1).tolist()
+                size += len(held[-1])
                 if size >= SEGMENT_TOKENS:
                     yield turn()
                     keys, lengths, held, size = [], [], [], 0
@@ -257,7 +271,7 @@ def write_segments(docs: DataFrame, path: str | None = None) -> tuple[DataFrame,
     """The stored segments (task, segment, n_tokens, data: a whole file each) and their table.  They lie in a
     Parquet table, so that Spark's commit protocol and any file system it writes to serve them."""
     spark = docs.sparkSession
-    chunks = keep(token_chunks(docs, path or tokenizer_path(TOKENIZER), partitions(spark)), "chunks", "zstd")
+    chunks = keep(token_chunks(docs, path or tokenizer_path(TOKENIZER), partitions(spark)), "chunks")
     table = frequency_table(chunks)
     shipped = spark.sparkContext.broadcast(table.freq)
 

@@ -10,8 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -24,6 +29,15 @@ CACHED = 1 << 19
 STOPPED = re.compile(r"([^\W_]+)([.,!?;:]+)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies name each byte: itself where it is printable, else from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class _Words(dict):
     """word -> bytes of the ids of before + word.  stops: where the ids of stops alone are found."""
 
@@ -38,12 +52,12 @@ class _Words(dict):
             self.clear()
         ids = self.old.get(word)
         if ids is None:
-            if self.fold and word.isascii() and (low := word.lower()) != word:
+            if self.fold and word.isascii() and "<|" not in word and (low := word.lower()) != word:
                 ids = self[low]
             elif (m := STOPPED.fullmatch(word)) and (not self.fold or m[1].lower().isalnum()):
                 ids = self[m[1]] + self.stops[m[2]]
             else:
-                ids = self.encode(self.before + word)
+                ids = self.encode(word, self.before)
         self[word] = ids
         return ids
 
@@ -59,14 +73,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first = _Words(self.whole, "", fold=not spaces)  # the file that drops white space also lower-cases
-        self.rest = _Words(self.whole, " ", False, self.first)
+        self.merge, self.lower = self.tokenizer.model.tokenize, not spaces
+        self.first = _Words(self.word, "", fold=not spaces)  # the file that drops white space also lower-cases
+        self.rest = _Words(self.word, " ", False, self.first)
         self.encode = self._spaced if spaces else self._dropped
         self.line = self.whole("\n") if spaces else b""
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str, before: str) -> bytes:
+        """Letters alone are one pre-token and go to the model as its byte letters; all else goes through the whole tokenizer."""
+        if word.isalpha() and unicodedata.is_normalized("NFC", word):
+            low = word.lower() if self.lower and "\u03a3" not in word else word  # a last sigma is lower-cased by its place
+            if not self.lower or low.isalpha() and (low != word or low == low.lower()):
+                letters = (before + low).encode().decode("latin-1").translate(BYTE_LETTERS)
+                return array("I", [t.id for t in self.merge(letters)]).tobytes()
+        return self.whole(before + word)
+
     def _spaced(self, text: str) -> bytes:
         if not text:
             return b""
@@ -85,6 +109,26 @@ class Encoder:
         return b"".join(map(self.first.__getitem__, text.split()))
 
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array and the number of each text's, where white space is dropped.  Texts are cut at
+        single spaces and line breaks alone, which is safe everywhere, and words are told apart by Arrow: each distinct
+        word of the batch costs one look in the cache."""
+        # replacing comes first: it makes an array of its own, and lower-casing a slice of another reads wrong offsets
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)  # unless that could spell a special token
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        ids = [self.first[w] for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+        at = cut.offsets.to_numpy()
+        return flat, ends[at[1:]] - ends[at[:-1]]
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 

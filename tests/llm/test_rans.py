@@ -22,11 +22,11 @@ def test_block_round_trip(n, alphabet):
 
 def test_checkpoints_give_the_same_steps():
     rng = np.random.default_rng(0)
-    ids = rng.integers(0, 900, 100_000).astype(np.uint32)
+    ids = rng.integers(0, 900, 400_000).astype(np.uint32)
     table = rans.Table.of_counts(np.bincount(ids))
     data = memoryview(rans.encode_block(ids, table))
     lanes = rans.BLOCK.unpack_from(data)[1]
-    for first, last in ((0, 10), (64, 70), (130, 131), (190, None), (195, 500)):
+    for first, last in ((0, 10), (64, 70), (127, 129), (128, None), (130, 131), (50, 500)):
         got, _ = rans.decode_block(data, table, first, last)
         assert (got == ids[first * lanes : None if last is None else last * lanes]).all()
 
@@ -36,7 +36,7 @@ def test_size_is_near_the_entropy():
     ids = np.minimum(rng.zipf(1.3, 131_072), 40_000).astype(np.uint32)
     counts = np.bincount(ids)
     p = counts[counts > 0] / len(ids)
-    assert len(rans.encode_block(ids, rans.Table.of_counts(counts))) < 1.1 * -(p * np.log2(p)).sum() * len(ids) / 8 + 20_000
+    assert len(rans.encode_block(ids, rans.Table.of_counts(counts))) < 1.1 * -(p * np.log2(p)).sum() * len(ids) / 8 + 40_000
 
 
 def test_unknown_tokens_and_damage():
@@ -61,6 +61,7 @@ def test_documents(spark, monkeypatch, segment):
     rows = [(None if i % 20 == 3 else i * 7 % 60, t, 1, "e") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, task int, ids string").repartition(3)
     monkeypatch.setattr(rans, "SEGMENT_TOKENS", segment)
+    monkeypatch.setattr(rans, "SLICE_BYTES", segment)
     got = rans.token_file_report(df).collect()
     whole = Encoder(tokenizer_path(rans.TOKENIZER), False).whole
     want = Counter()
