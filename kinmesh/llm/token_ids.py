@@ -47,7 +47,7 @@ class _Words(dict):
         self.stops = self if stops is None else stops
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
+        if len(self) >= CACHED * (3 if self.fold else 2) // 2:  # one cache where white space is dropped, two where it has tokens
             self.old = dict(self)
             self.clear()
         ids = self.old.get(word)

@@ -34,7 +34,7 @@ def test_small_cache(monkeypatch):
     monkeypatch.setattr(token_ids, "CACHED", 3)
     e = Encoder(tokenizer_path("word_bpe_49k.json"), False)
     text = "one Two three. four, five six seven! eight one two"
-    assert e.encode(text) == e.whole(text) and len(e.first) <= 4
+    assert e.encode(text) == e.whole(text) and len(e.first) <= 5
 
 
 @settings(max_examples=40, deadline=None)
