@@ -9,9 +9,11 @@ tasks, so no length's pieces ever meet in one task.
 
 Search: the incumbent is best fit decreasing.  If it doesn't meet the lower bound, the sequence around the
 largest piece is completed in every undominated way (no piece or group in it could be swapped for a larger
-waiting piece that still fits), least waste first; a branch ends when its waste exceeds what a better
-solution may waste; best fit on what is left renews the incumbent at each node.  WORK bounds the nodes.  It
-limits how long a better solution is sought, never which pieces are packed.
+waiting piece that still fits), in batches of at most FILLINGS or STEPS, least waste first in each; the rest
+come when a batch's branches are done.  A branch ends when its waste exceeds what a better solution may waste;
+best fit on what is left renews the incumbent at each node.  WORK bounds the nodes and later batches.  It
+limits how long a better solution is sought, never which pieces are packed; with many lengths it ends the
+search long before all completions are tried, so the result there is mostly best fit decreasing.
 
 Null text: as empty, the end id alone.  Null or repeated doc_id: packed like any other row.  Empty table: empty result.
 """
@@ -35,9 +37,9 @@ TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
 #: Nodes times distinct lengths that the search may visit.
-WORK = 20_000
-#: Fillings tried at a node, and the steps that look for them.
-FILLINGS, STEPS = 24, 4000
+WORK = 500_000
+#: Fillings in a batch, and the steps that look for them.
+FILLINGS, STEPS = 96, 4000
 
 Kind = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -47,16 +49,17 @@ Kind = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     """The larger of total length over capacity and the bound by pieces of over half a sequence."""
-    lengths = sorted(counts)
-    best = -(-sum(x * n for x, n in counts.items()) // capacity)
-    for k in [0] + [x for x in lengths if x <= capacity // 2]:
-        n_large = sum(n for x, n in counts.items() if x > capacity - k)
-        middle = [(x, n) for x, n in counts.items() if capacity // 2 < x <= capacity - k]
-        n_middle = sum(n for _, n in middle)
-        room = n_middle * capacity - sum(x * n for x, n in middle)
-        small = sum(x * n for x, n in counts.items() if k <= x <= capacity // 2)
-        best = max(best, n_large + n_middle + max(0, -(-(small - room) // capacity)))
-    return best
+    half = capacity // 2
+    by = np.zeros(capacity + 1, dtype=np.int64)
+    by[list(counts)] = list(counts.values())
+    n = np.concatenate([[0], np.cumsum(by)])  # pieces shorter than each length, and their sum of lengths
+    total = np.concatenate([[0], np.cumsum(by * np.arange(capacity + 1))])
+    k = np.concatenate([[0], np.flatnonzero(by[: half + 1])])
+    n_middle = n[capacity - k + 1] - n[half + 1]
+    room = n_middle * capacity - (total[capacity - k + 1] - total[half + 1])
+    small = total[half + 1] - total[k]
+    large = n[-1] - n[capacity - k + 1] + n_middle + np.maximum(0, -(-(small - room) // capacity))
+    return max(-(-int(total[-1]) // capacity), int(large.max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Kind, int]]:
@@ -92,8 +95,8 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Kin
     return [(kind, n) for entries in room.values() for kind, n in entries]
 
 
-def fillings(counts: dict[int, int], largest: int, waste: int, capacity: int = CAPACITY) -> list[tuple[int, ...]]:
-    """Undominated completions of a sequence that holds largest, with waste at most waste; least waste first."""
+def fillings(counts: dict[int, int], largest: int, waste: int, capacity: int = CAPACITY) -> Iterator[list[tuple[int, ...]]]:
+    """All undominated completions of a sequence that holds largest, with waste at most waste, in batches; least waste first in each."""
     have = {x: n - (x == largest) for x, n in counts.items()}
     lengths = [x for x in sorted(have, reverse=True) if have[x] > 0 and x <= capacity - largest]
     found: dict[tuple[int, ...], int] = {}
@@ -101,7 +104,10 @@ def fillings(counts: dict[int, int], largest: int, waste: int, capacity: int = C
     steps = STEPS
     used: dict[int, int] = {}
     stack = [(0, capacity - largest, ())]
-    while stack and steps and len(found) < 4 * FILLINGS:
+    while stack:
+        if not steps or len(found) == FILLINGS:
+            yield _ordered(found)
+            found, steps = {}, STEPS
         steps -= 1
         i, left, chosen = stack.pop()
         if left < smallest or i == len(lengths):
@@ -116,7 +122,11 @@ def fillings(counts: dict[int, int], largest: int, waste: int, capacity: int = C
             continue
         stack.append((fit + 1, left, chosen))  # without any more of this length
         stack.append((fit, left - lengths[fit], (*chosen, lengths[fit])))
-    return sorted(found, key=lambda c: (found[c], len(c), [-x for x in c]))[:FILLINGS]
+    yield _ordered(found)
+
+
+def _ordered(found: dict[tuple[int, ...], int]) -> list[tuple[int, ...]]:
+    return sorted(found, key=lambda c: (found[c], len(c), [-x for x in c]))
 
 
 def _dominated(chosen: tuple[int, ...], left: int, lengths: list[int], have: dict[int, int]) -> bool:
@@ -141,32 +151,42 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, work: int = WO
     best = best_fit(counts, capacity)
     bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
     nodes = max(1, work // len(counts))
-    stack: list[tuple[dict[int, int], list[tuple[Kind, int]], int]] = [(counts, [], 0)]
+
+    def branches(left: dict[int, int], done: list[tuple[Kind, int]], wasted: int, allowed: int) -> Iterator:
+        """What follows a node, one at a time; None ahead of each batch of fillings after the first."""
+        largest = max(left)
+        for i, batch in enumerate(fillings(left, largest, allowed, capacity)):
+            if i:
+                yield None
+            for chosen in batch:
+                pieces = (largest, *chosen)
+                kind = tuple((x, pieces.count(x)) for x in sorted(set(pieces), reverse=True))
+                times = min(left[x] // k for x, k in kind)
+                for n in sorted({times, 1}, reverse=True):
+                    waste = (capacity - sum(pieces)) * n
+                    if waste <= allowed:
+                        rest = left | {x: left[x] - k * n for x, k in kind}
+                        yield {x: m for x, m in rest.items() if m}, [*done, (kind, n)], wasted + waste
+
+    stack: list[Iterator] = [iter([(counts, [], 0)])]
     while stack and nodes and size(best) > bound:
+        if (node := next(stack[-1], False)) is False:
+            stack.pop()
+            continue
         nodes -= 1
-        left, done, wasted = stack.pop()
-        allowed = (size(best) - 1) * capacity - total - wasted
-        if allowed < 0:
+        if node is None:
+            continue
+        left, done, wasted = node
+        if (size(best) - 1) * capacity - total - wasted < 0:
             continue
         if done:
             whole = done + best_fit(left, capacity)
             if size(whole) < size(best):
                 best = whole
-                continue
-        if not left or size(done) + lower_bound(left, capacity) >= size(best):
+        allowed = (size(best) - 1) * capacity - total - wasted
+        if allowed < 0 or not left or size(done) + lower_bound(left, capacity) >= size(best):
             continue
-        largest = max(left)
-        branches = []
-        for chosen in fillings(left, largest, allowed, capacity):
-            pieces = (largest, *chosen)
-            kind = tuple((x, pieces.count(x)) for x in sorted(set(pieces), reverse=True))
-            times = min(left[x] // k for x, k in kind)
-            for n in sorted({times, 1}, reverse=True):
-                rest = left | {x: left[x] - k * n for x, k in kind}
-                waste = (capacity - sum(pieces)) * n
-                if waste <= allowed:
-                    branches.append(({x: m for x, m in rest.items() if m}, [*done, (kind, n)], wasted + waste))
-        stack += reversed(branches)
+        stack.append(branches(left, done, wasted, allowed))
     return full + best
 
 

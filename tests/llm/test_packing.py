@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -92,3 +93,32 @@ def test_documents(spark):
 
 def fewest_or_bound(lengths):
     return packing.lower_bound(Counter(lengths))
+
+
+def test_every_undominated_filling(monkeypatch):
+    monkeypatch.setattr(packing, "FILLINGS", 4)
+    monkeypatch.setattr(packing, "STEPS", 50)
+    lengths = sorted(random.Random(0).sample(range(150, 700), 30), reverse=True)
+    counts = {x: 1 for x in [*lengths, 1000]}
+    all_of = [c for batch in packing.fillings(counts, 1000, 20, 2048) for c in batch]
+    fit = [c for k in range(1, 7) for c in combinations(lengths, k) if 1028 <= sum(c) <= 1048]
+    want = {c for c in fit if not packing._dominated(c, 1048 - sum(c), lengths, counts)}
+    assert len(all_of) == len(want) > packing.FILLINGS and set(all_of) == want
+
+
+def test_search_is_not_cut():
+    assert packing.WORK >= 100_000
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_lower_bound_by_definition(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 31, 100])
+    counts = {x: rng.randint(1, 9) for x in range(1, capacity + 1) if rng.random() < 0.4} or {1: 1}
+    best = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for k in [0, *(x for x in counts if x <= capacity // 2)]:
+        middle = {x: n for x, n in counts.items() if capacity // 2 < x <= capacity - k}
+        room = sum((capacity - x) * n for x, n in middle.items())
+        small = sum(x * n for x, n in counts.items() if k <= x <= capacity // 2)
+        best = max(best, sum(n for x, n in counts.items() if x > capacity - k) + sum(middle.values()) + max(0, -(-(small - room) // capacity)))
+    assert packing.lower_bound(counts, capacity) == best
