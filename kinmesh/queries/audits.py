@@ -82,6 +82,14 @@ def token_components(s):
     return graph_components(members.select("node").distinct(), star_edges(members))
 
 
+@query()
+def token_components_all(s):
+    """Every order under both tokens, where token_components and its SQL take some of the orders; checked against a brute force in the tests."""
+    o = s.table("orders")
+    members = o.select(F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("token"), F.col("o_orderkey").alias("node")).union(o.select(F.concat(F.lit("p"), F.floor(F.col("o_custkey") / 2).cast("string")), "o_orderkey"))
+    return graph_components(o.select(F.col("o_orderkey").alias("node")).distinct(), star_edges(members))
+
+
 @query("SELECT CAST(sum(CASE WHEN n > 40 THEN n * (n - 1) // 2 ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN n <= 40 THEN n * (n - 1) // 2 ELSE 0 END) AS BIGINT) AS remaining FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def naive_pair_incidences(s):
     n = s.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select("n", text.potential_pairs(F.col("n")).alias("p"))

@@ -26,3 +26,12 @@ def test_registered():
 def test_pairs_plan_has_no_cross_join(spark, sf_dir):
     plan = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_token_components_of_all_orders(spark, sf_dir, con):
+    orders = con.sql("select o_orderkey, o_custkey from orders").fetchall()
+    least = {}
+    for key, customer in orders:  # a device token lies within its shared token
+        least[customer // 2] = min(key, least.get(customer // 2, key))
+    got = {r.node: r.component for r in QUERIES["token_components_all"](spark, sf_dir).collect()}
+    assert got == {key: least[customer // 2] for key, customer in orders}
