@@ -260,8 +260,8 @@ def nearest_rank_percentiles(s):
 
 @query()
 def count_simulations(s):
-    """Sampled counts of identities, by simulation."""
+    """Sampled counts of identities, by scenario and simulation."""
     edges = business.unresolved_edges(s.scored, s.assigned)
     rates = business.bin_rates(_labelled(s))
     sizes = s.assigned.select("component", "component_size").distinct()
-    return business.simulate(edges, rates, sizes, n=50)
+    return business.simulate(edges, rates, sizes)

@@ -126,3 +126,14 @@ def test_guard(spark):
     with pytest.raises(evaluate.LeakError):
         evaluate.guard(spark.createDataFrame([(1, "P")], "rid long, person_id string"))
     assert evaluate.select_model([{"false_merges": 1, "auto_recall": 1.0, "assisted_recall": 1.0, "review": 0}]) is None
+
+
+def test_simulations_and_scenarios(spark):
+    edges = spark.createDataFrame([(1, 2, 0.7), (2, 3, 0.55), (10, 11, 0.3)], "a long, b long, best double")
+    sizes = spark.createDataFrame([(x, 1) for x in (1, 2, 3, 10, 11)], "component long, component_size int")
+    rates = spark.createDataFrame([(b, 10**9, 10**9) for b in range(12)], "bin int, n long, matches long")  # every edge is drawn
+    rows = business.simulate(edges, rates, sizes).collect()
+    assert len({(r.scenario, r.simulation) for r in rows}) == len(rows) == 2 * config.SIMULATIONS == 1000
+    assert {(r.scenario, r.reduction, r.oversized) for r in rows} == {("review_only", 1, 0), ("all_unresolved", 3, 0)}
+    none = business.simulate(edges.where("best < 0.6"), rates, sizes).where("scenario = 'review_only'").collect()
+    assert len(none) == 500 and {r.reduction for r in none} == {0}
