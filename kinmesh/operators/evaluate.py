@@ -33,8 +33,8 @@ def label_pairs(scored: DataFrame, truth: DataFrame) -> DataFrame:
 
 def bucket(people: Column) -> Column:
     """0 to 99, from SHA-256 over the salt and the length-led sorted people."""
-    one = lambda p: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(F.encode(p, "utf-8"))), 8, "0")), F.encode(p, "utf-8"))
-    whole = F.aggregate(F.array_sort(people), F.encode(F.lit(config.PARTITION_SALT), "utf-8"), lambda acc, p: F.concat(acc, one(p)))
+    one = lambda p: F.concat(F.lpad(F.hex(F.octet_length(F.encode(p, "utf-8"))), 8, "0"), F.hex(F.encode(p, "utf-8")))
+    whole = F.concat(F.encode(F.lit(config.PARTITION_SALT), "utf-8"), F.unhex(F.array_join(F.transform(F.array_sort(people), one), "")))
     return (F.conv(F.substring(F.sha2(whole, 256), 1, 12), 16, 10).cast("long") % 100).cast("int")
 
 
@@ -47,10 +47,11 @@ def partition_of(b: Column) -> Column:
 
 def person_partitions(labelled: DataFrame, people: DataFrame) -> DataFrame:
     """person_id, component (smallest person of those linked by a pair), partition: no pair crosses partitions.
-    The component's smallest person stands for it, so that no member list is gathered."""
+    The bucket is of all the component's people, so each component's list is gathered in one row."""
     edges = labelled.select(F.col("p_l").alias("a"), F.col("p_r").alias("b")).distinct()
     comp = components(people.select(F.col("person_id").alias("node")).distinct(), edges)
-    return comp.select(F.col("node").alias("person_id"), "component", partition_of(bucket(F.array("component"))).alias("partition"))
+    parts = comp.groupBy("component").agg(F.collect_list("node").alias("people")).select("component", partition_of(bucket(F.col("people"))).alias("partition"))
+    return comp.join(parts, "component").select(F.col("node").alias("person_id"), "component", "partition")
 
 
 def with_partition(labelled: DataFrame, parts: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -137,3 +138,20 @@ def test_simulations_and_scenarios(spark):
     assert {(r.scenario, r.reduction, r.oversized) for r in rows} == {("review_only", 1, 0), ("all_unresolved", 3, 0)}
     none = business.simulate(edges.where("best < 0.6"), rates, sizes).where("scenario = 'review_only'").collect()
     assert len(none) == 500 and {r.reduction for r in none} == {0}
+
+
+def test_bucket_is_of_all_people(spark):
+    people = spark.createDataFrame([(i, f"P{i}é" if i % 2 else f"Q{i}") for i in range(60)], "rid long, person_id string")
+    name = {r.rid: r.person_id for r in people.collect()}
+    groups = [[name[j] for j in range(i, i + 3)] for i in range(0, 30, 3)] + [[name[i]] for i in range(30, 60)]
+    pairs = spark.createDataFrame([(g[0], x) for g in groups for x in g[1:]], "p_l string, p_r string")
+    want, buckets = {}, {}
+    for g in groups:
+        h = hashlib.sha256(config.PARTITION_SALT.encode())
+        for p in sorted(g):
+            h.update(len(p.encode()).to_bytes(4, "big") + p.encode())
+        buckets[tuple(g)] = b = int(h.hexdigest()[:12], 16) % 100
+        want |= dict.fromkeys(g, next(k for k, (lo, hi) in config.PARTITIONS.items() if lo <= b < hi))
+    got = spark.createDataFrame([(list(g),) for g in buckets], "g array<string>").select("g", evaluate.bucket(F.col("g")).alias("b")).collect()
+    assert {tuple(r.g): r.b for r in got} == buckets
+    assert {r.person_id: r.partition for r in evaluate.person_partitions(pairs, people).collect()} == want
