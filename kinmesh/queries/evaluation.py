@@ -178,11 +178,25 @@ def logistic_scores_fixed(s):
     return models.logistic_scores(s.scored, FIXED).select("l", "r", F.round("probability", 5).alias("probability"))
 
 
+def _trained(s):
+    labelled = keep(_labelled(s), "labelled")
+    return models.train_and_select(keep(evaluate.with_partition(labelled, evaluate.person_partitions(labelled, s.truth)), "parted"))
+
+
 @query()
 def logistic_train(s):
-    """Coefficients of a model fitted on the labelled pairs."""
-    m = models.train_logistic(_labelled(s), 0.001)
-    return s.spark.createDataFrame([("intercept", m["intercept"]), *((k, float(v)) for k, v in m["coefficients"].items())], "feature string, coefficient double")
+    """Coefficients of each penalty's model, fitted on the development partition, and whether validation selects it."""
+    candidates, _, best = _trained(s)
+    rows = [(m["l2"], f, float(v), best is not None and m["l2"] == best["l2"]) for m in candidates for f, v in [("intercept", m["intercept"]), *m["coefficients"].items()]]
+    return s.spark.createDataFrame(rows, "l2 double, feature string, coefficient double, selected boolean")
+
+
+@query()
+def logistic_selection(s):
+    """Validation metrics of each penalty's model and whether the gate selects it."""
+    _, metrics, best = _trained(s)
+    rows = [(*m.values(), m is best) for m in metrics]
+    return s.spark.createDataFrame(rows, "l2 double, pairs long, matches long, false_merges long, auto_recall double, assisted_recall double, review long, selected boolean")
 
 
 def _scored_labels(s):

@@ -155,3 +155,20 @@ def test_bucket_is_of_all_people(spark):
     got = spark.createDataFrame([(list(g),) for g in buckets], "g array<string>").select("g", evaluate.bucket(F.col("g")).alias("b")).collect()
     assert {tuple(r.g): r.b for r in got} == buckets
     assert {r.person_id: r.partition for r in evaluate.person_partitions(pairs, people).collect()} == want
+
+
+def test_grid_is_fitted_on_development_and_selected_on_validation(spark):
+    def parted(flip):
+        rows = []
+        for name in config.PARTITIONS:
+            turn = flip and name != "development"
+            rows += [(len(rows) + i, 10**6, ["exact_account_reference", "exact_email"] if i % 2 else ["exact_device_id"], [], (i % 2 == 1) != turn, name) for i in range(40)]
+        return spark.createDataFrame(rows, "l long, r long, evidence array<string>, conflicts array<string>, is_match boolean, partition string")
+
+    fitted, metrics, best = models.train_and_select(parted(False))
+    assert [m["l2"] for m in fitted] == [m["l2"] for m in metrics] == list(config.L2_STRENGTHS)
+    assert all(m["pairs"] == 40 and m["matches"] == 20 for m in metrics) and best["false_merges"] == 0 and best["auto_recall"] == 1.0
+    assert best["l2"] == max(m["l2"] for m in metrics if m["auto_recall"] == 1.0)
+    again, turned, none = models.train_and_select(parted(True))
+    assert again == fitted and all(m["false_merges"] == 20 for m in turned if m["l2"] <= best["l2"])
+    assert none is None or none["l2"] > best["l2"] and none["auto_recall"] == 0.0  # a penalty under which nothing is merged
