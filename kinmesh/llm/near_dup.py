@@ -125,14 +125,15 @@ def _differ(x: Column, first: int, width: int) -> Column:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at THRESHOLD or fewer differing bits, each once:
-    at the home anchor of a, in the first band with at most one difference."""
+    at the home anchor of a, in the first band with at most one difference (anchors reach some pairs with two, too)."""
     home = _replicate(nodes, True).withColumnRenamed("fp", "a")
     near = _replicate(nodes, False).withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     band = F.shiftright("anchor", 40)
     first = F.lit(True)
-    for n, (at, width) in enumerate(BANDS[:-1]):
-        first = first & ((band <= n) | (_differ(x, at, width) > BAND_THRESHOLD))
+    for n, (at, width) in enumerate(BANDS):
+        near_here = _differ(x, at, width) <= BAND_THRESHOLD
+        first = first & F.when(band == n, near_here).when(band > n, ~near_here).otherwise(True)
     return home.join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= THRESHOLD) & first).select("a", "b")
 
 

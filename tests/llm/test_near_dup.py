@@ -103,3 +103,18 @@ def test_components_of_paths_and_stars(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {n: (r, 2 * r) for n, r in root.items()}
+
+
+def test_each_link_comes_once(spark):
+    rng = random.Random(5)
+    fps, want = set(), set()
+    for _ in range(1500):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.choice([3, 4])):
+            b ^= 1 << bit
+        a, b = (x - (1 << 64) if x >> 63 else x for x in (a, b))
+        fps |= {a, b}
+        want.add((min(a, b), max(a, b)))
+    got = [tuple(r) for r in N.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
