@@ -8,7 +8,8 @@ carry digests of their own.  Record ids are UUIDs of version 5, of the response'
 same input always gives the same records.
 
 Responses are read from WARC bytes: plain or gzip members, header lines in any case and folded, HTTP payloads
-chunked and gzip- or deflate-coded.  A record that can't be read gives one row with its error and no record; a
+chunked and gzip- or deflate-coded.  A record that can't be read gives one row with its error and no record, and
+reading goes on at the next header; so does a gzip member that can't be inflated, with all that is in it.  A
 digest that doesn't hold is reported, not dropped.  Records of other types give no row.
 
 From a table of pages: null url, no target URI; null html, an empty payload.  Repeated rows give repeated
@@ -84,21 +85,75 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out) if out else data
 
 
+def _members(data: bytes) -> Iterator[bytes | WarcError]:
+    """The data as they are, or runs of good gzip members, with an error for each bad one between them."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    run = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            run.append(member.decompress(data) + member.flush())
+            data = member.unused_data
+        except zlib.error as e:
+            yield b"".join(run)
+            yield WarcError(str(e))
+            run, at = [], data.find(b"\x1f\x8b\x08", 1)
+            while at >= 0 and not _starts(data[at : at + 4096]):  # these bytes may also lie within the bad member
+                at = data.find(b"\x1f\x8b\x08", at + 1)
+            data = data[at:] if at >= 0 else b""
+    yield b"".join(run)
+
+
+def _starts(data: bytes) -> bool:
+    """Whether a gzip member begins here that begins with a record."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 64).lstrip(b"\r\n").startswith(b"WARC/")
+    except zlib.error:
+        return False
+
+
+HEADER, NEXT = re.compile(rb"WARC/\d+\.\d+\r?\n(.*?)\r?\n\r?\n", re.S), re.compile(rb"(?<=\n)WARC/\d+\.\d+\r?\n")
+
+
+def _read(file: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes | WarcError]]:
+    """Header fields and block of each record; a bad record or gzip member has its error for a block, and reading goes on at the next header."""
+    for data in _members(file):
+        if isinstance(data, WarcError):
+            yield [], data
+            continue
+        at, end = 0, len(data.rstrip(b"\r\n"))
+        while at < end:
+            while data[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+            m = HEADER.match(data, at)
+            # a header that runs into the next record's has no end of its own
+            if not m or NEXT.search(data, at + 1, m.end()):
+                follows = NEXT.search(data, at + 1)
+                yield [], WarcError("no record header")
+                at = follows.start() if follows else end
+                continue
+            fields = _fields(m[1])
+            size = _first(fields, "Content-Length")
+            stop = m.end() + int(size) if size and size.isdigit() else None
+            if stop is not None and stop <= len(data) and not re.compile(rb"[\r\n]*(?:WARC/|\Z)").match(data, stop) and NEXT.search(data, m.end(), stop):
+                stop = None  # ends within a later record
+            if stop is None or stop > len(data):
+                follows = NEXT.search(data, m.end())
+                yield fields, WarcError("Content-Length is missing or beyond the data")
+                at = follows.start() if follows else end
+                continue
+            at = stop
+            yield fields, data[m.end() : at]
+
+
 def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Header fields and block of each record of a file."""
-    data, at = inflate(data), 0
-    while data[at:].strip(b"\r\n"):
-        while data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        m = re.compile(rb"WARC/\d+\.\d+\r?\n(.*?)\r?\n\r?\n", re.S).match(data, at)
-        if not m:
-            raise WarcError("no record header")
-        fields = _fields(m[1])
-        size = _first(fields, "Content-Length")
-        if size is None or not size.isdigit() or m.end() + int(size) > len(data):
-            raise WarcError("Content-Length is missing or beyond the data")
-        at = m.end() + int(size)
-        yield fields, data[m.end() : at]
+    """Header fields and block of each record of a file; raises at one that can't be read."""
+    for fields, block in _read(data):
+        if isinstance(block, WarcError):
+            raise block
+        yield fields, block
 
 
 def write_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -197,15 +252,14 @@ NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 def derivatives(data: bytes | None) -> Iterator[dict]:
     """The rows of all response records of a file."""
-    try:
-        for fields, block in records(data or b""):
-            if (_first(fields, "WARC-Type") or "").lower() == "response":
-                try:
-                    yield from derive(fields, block)
-                except WarcError as e:
-                    yield dict.fromkeys(NAMES) | {"refers_to": _first(fields, "WARC-Record-ID"), "error": str(e)}
-    except (WarcError, zlib.error) as e:
-        yield dict.fromkeys(NAMES) | {"error": str(e)}
+    for fields, block in _read(data or b""):
+        if isinstance(block, WarcError):
+            yield dict.fromkeys(NAMES) | {"refers_to": _first(fields, "WARC-Record-ID"), "error": str(block)}
+        elif (_first(fields, "WARC-Type") or "").lower() == "response":
+            try:
+                yield from derive(fields, block)
+            except WarcError as e:
+                yield dict.fromkeys(NAMES) | {"refers_to": _first(fields, "WARC-Record-ID"), "error": str(e)}
 
 
 def response_record(key: int | None, url: str | None, page: bytes | None, date: str = DATE) -> bytes:

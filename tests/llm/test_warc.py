@@ -57,3 +57,16 @@ def test_pages(spark):
     assert text == {(1, "http://a/"): "x", (2, None): "", (None, "uv"): "", (3, "http://b/"): ("long " * 50000).strip()}
     assert all(re.fullmatch("[0-9a-f]{64}", r.record_sha256) for r in got)
     assert warc.page_derivatives(df.where("false")).collect() == []
+
+
+def test_a_bad_record_loses_no_other():
+    a, b, c = (warc.response_record(k, "u", PAGE) for k in (1, 2, 3))
+    ids = [dict(next(warc.records(x))[0])["WARC-Record-ID"] for x in (a, b, c)]
+    size = re.search(rb"Content-Length: (\d+)\r\n\r\nHTTP", b)[1]
+    zipped = bytearray(gzip.compress(b))
+    zipped[len(zipped) // 2] ^= 255
+    bad = [b.replace(b"WARC/1.1", b"WORC/1.1"), *(b.replace(b"Content-Length: " + size + b"\r\n\r\nHTTP", x + b"\r\n\r\nHTTP") for x in (b"Content-Length: x", b"Content-Length: 9999999", b"Content-Length: %d" % (int(size) + 50), b"X: 1"))]
+    for data in [*(a + x + c for x in bad), gzip.compress(a) + bytes(zipped) + gzip.compress(c)]:
+        rows = list(warc.derivatives(data))
+        assert [r["record_type"] for r in rows] == ["metadata", "conversion", None, "metadata", "conversion"] and rows[2]["error"]
+        assert [rows[0]["refers_to"], rows[3]["refers_to"]] == [ids[0], ids[2]] and rows[2]["refers_to"] in (None, ids[1])
