@@ -1,5 +1,9 @@
-"""Normalization, discovery keys and masks as column functions.  ASCII stays inside codegen; what needs Unicode
-composition or stacked export artifacts goes through two Arrow UDFs, on non-ASCII or suspicious text only."""
+"""Normalization, discovery keys and masks as column functions.
+
+Normalization is written as SQL text (one parse a field, where a tree of column calls costs a round trip to the JVM a node).  What needs
+Unicode composition, case folding or the removal of stacked export artifacts goes through Arrow functions.  Spark runs those for every
+row of the plan they stand in, whatever CASE WHEN is around them; so each rule takes ``plain``: with it there are built-in functions
+alone, right for values of which ``is_plain`` is true.  The caller parts the rows by ``is_plain`` first."""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +21,21 @@ from kinmesh import config
 EMAIL = r"(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
 PHONE_ALLOWED = r"(?U)^[+\d\s().-]+$"
 ASCII = r"^[\x00-\x7F]*$"
-SPACE = r"(?U)\s+"
+PRINTABLE = r"^[\x20-\x7E]*$"
+SPACE, ASCII_RUN = r"(?U)\s+", r"[\x20\t-\r\x1c-\x1f]+"
+NOT_DIGIT, UNICODE_NOT_DIGIT = r"\D", r"(?U)\D"
+PHONE_PUNCTUATION = r"(?U)[\s().-]+"
+POSTCODE, POSTCODE_GAP = r"(?U)^[\w\s-]+$", r"(?U)[\s-]+"
 GREETING = re.compile(r"\s+hello\s+[^\x00-\x7f].*$", re.I)
 QUOTED = re.compile(r'\s+"[^"\r\n]*"\s*$')
 
-Result = T.StructType([T.StructField("value", T.StringType()), T.StructField("status", T.StringType()), T.StructField("flags", T.ArrayType(T.StringType())), T.StructField("transformation", T.StringType())])
+#: What the white space of ASCII text is made of.
+ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+UNICODE_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(x, UNICODE_ENDS, "")
 
 
 def is_missing(x: Column) -> Column:
@@ -42,15 +52,6 @@ def _casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else v.casefold())
 
 
-def unicode_text(x: Column) -> Column:
-    """Compatibility composition and trim."""
-    return trim(F.when(x.rlike(ASCII), x).otherwise(_nfkc(x)))
-
-
-def casefold(x: Column) -> Column:
-    return F.when(x.rlike(ASCII), F.lower(x)).otherwise(_casefold(x))
-
-
 def clean_export_text(text: str) -> tuple[str, list[str]]:
     """The first line without trailing greeting, symbols and quoted notes, in whatever order they are stacked."""
     lines = text.splitlines()
@@ -85,111 +86,159 @@ def _export(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [g[0] for g in got], "flags": [g[1] for g in got]})
 
 
-def _result(value: Column | None, status: Column, flags: Column, how: str) -> Column:
-    text = F.lit(None).cast("string") if value is None else value.cast("string")
-    return F.struct(text.alias("value"), status.alias("status"), flags.cast("array<string>").alias("flags"), F.lit(how).alias("transformation"))
+def register(spark: SparkSession) -> None:
+    """The Arrow functions, by the names that the rules call them."""
+    for name, f in (("kinmesh_nfkc", _nfkc), ("kinmesh_casefold", _casefold), ("kinmesh_export", _export)):
+        spark.udf.register(name, f)
+
+
+def casefold(x: Column) -> Column:
+    return _casefold(x)
+
+
+def unicode_text(x: Column) -> Column:
+    """Compatibility composition and trim."""
+    return trim(_nfkc(x))
+
+
+# ---------------------------------------------------------------- rules as SQL text; x is an expression
+
+
+def literal(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def trimmed(x: str, plain: bool) -> str:
+    return f"btrim({x}, {literal(ASCII_SPACE)})" if plain else f"regexp_replace({x}, {literal(UNICODE_ENDS)}, '')"
+
 
+def missing(x: str, plain: bool) -> str:
+    return f"({x} IS NULL OR lower({trimmed(x, plain)}) IN ({', '.join(map(literal, config.MISSING_TOKENS))}))"
 
-def _flags(*pairs: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in pairs)))
 
+def is_plain(x: str, concept: str) -> str:
+    """Whether the built-in functions alone normalize x right: ASCII, and in names and places nothing that export cleaning would change.  True of null."""
+    if config.STRATEGY[concept] not in ("name", "address", "city"):
+        return f"coalesce({x} RLIKE {literal(ASCII)}, true)"
+    odd_end = r"""[$+<=>^`|~]\s*$|"\s*$"""
+    return f"coalesce({x} RLIKE {literal(PRINTABLE)} AND NOT {x} RLIKE {literal(odd_end)}, true)"
 
-def _settled(x: Column, result: Column) -> Column:
+
+def composed(x: str, plain: bool) -> str:
+    return trimmed(x if plain else f"kinmesh_nfkc({x})", plain)
+
+
+def folded(x: str, plain: bool) -> str:
+    return f"lower({x})" if plain else f"kinmesh_casefold({x})"
+
+
+def _result(value: str | None, status: str, flags: str, how: str) -> str:
+    return f"named_struct('value', cast({value or 'NULL'} AS string), 'status', {status}, 'flags', cast({flags} AS array<string>), 'transformation', '{how}')"
+
+
+def _flag(name: str, test: str = "") -> str:
+    return f"array_compact(array(if({test}, '{name}', NULL)))" if test else f"array('{name}')"
+
+
+def _invalid(flag: str, how: str) -> str:
+    return _result(None, "'invalid'", _flag(flag), how)
+
+
+def _settled(x: str, result: str, plain: bool) -> str:
     """result, but missing where x is a missing token."""
-    return F.when(is_missing(x), _result(None, F.lit("missing"), F.array(), "missing-token exclusion")).otherwise(result)
+    return f"CASE WHEN {missing(x, plain)} THEN {_result(None, literal('missing'), 'array()', 'missing-token exclusion')} ELSE {result} END"
 
 
-def normalize_text(x: Column, kind: str) -> Column:
-    t = unicode_text(x)
-    plain = t.rlike(r"^[\x20-\x7E]*$") & ~t.rlike(r'[$+<=>^`|~]$|"\s*$')  # nothing there that export cleaning changes
-    cleaned = _export(t)
-    text, notes = F.when(plain, t).otherwise(cleaned["text"]), F.when(plain, F.array().cast("array<string>")).otherwise(cleaned["flags"])
-    v = casefold(F.regexp_replace(text, SPACE, " "))
+def _let(name: str, value: str, body: str) -> str:
+    """body with name bound to a value that is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _present(value: str, flags: str, how: str) -> str:
+    """A valid value, or missing if it is empty."""
+    return _result(f"nullif({value}, '')", f"if({value} = '', 'missing', 'valid')", flags, how)
+
+
+def normalize_text(x: str, kind: str, plain: bool) -> str:
+    t = composed(x, plain)
+    cleaned = f"named_struct('text', {t}, 'flags', cast(array() AS array<string>))" if plain else f"kinmesh_export({t})"
+    run = literal(ASCII_RUN if plain else SPACE)
+    v = folded(f"regexp_replace(({cleaned}).text, {run}, ' ')", plain)
+    how = "NFKC + primary export text + case-fold + whitespace collapse"
     if kind == "city":
-        v = trim(F.regexp_replace(F.regexp_replace(v, r"[-_.]+", " "), SPACE, " "))
-    own = [(v.rlike(r"\p{S}"), "contains_symbol")] + ([(v.rlike(r"(?U)\d"), "contains_digit")] if kind == "name" else [])
-    how = "NFKC + case-fold + safe city punctuation + whitespace collapse" if kind == "city" else "NFKC + primary export text + case-fold + whitespace collapse"
-    return _settled(x, _result(F.nullif(v, F.lit("")), F.when(v == "", "missing").otherwise("valid"), F.array_sort(F.array_distinct(F.concat(notes, _flags(*own)))), how))
-
-
-def normalize_email(x: Column) -> Column:
-    t = unicode_text(x)
-    hits = F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0))
-    one = F.get(hits, F.lit(0))
-    local = F.regexp_extract(one, "^(.*)@", 1)
-    bad = local.startswith(".") | local.endswith(".") | local.contains("..")
+        v, how = f"trim(regexp_replace(regexp_replace({v}, '[-_.]+', ' '), {run}, ' '))", "NFKC + case-fold + safe city punctuation + whitespace collapse"
+    own = f"concat(n.f, array_compact(array(if(n.v RLIKE '\\\\p{{S}}', 'contains_symbol', NULL){", if(n.v RLIKE '(?U)\\\\d', 'contains_digit', NULL)" if kind == "name" else ""})))"
+    return _settled(x, _let("n", f"named_struct('v', {v}, 'f', ({cleaned}).flags)", _present("n.v", f"array_sort(array_distinct({own}))", how)), plain)
+
+
+def normalize_email(x: str, plain: bool) -> str:
     how = "single-address extraction + case-fold"
-    return _settled(
-        x,
-        F.when(F.size(hits) != 1, _result(None, F.lit("invalid"), F.array(F.when(F.size(hits) > 1, "multiple_email_candidates").otherwise("invalid_email_structure")), how))
-        .when(bad, _result(None, F.lit("invalid"), F.array(F.lit("invalid_email_local_part")), how))
-        .otherwise(_result(F.lower(one), F.lit("valid"), _flags((one != t, "email_extracted_from_export_text")), "NFKC + single-address extraction + case-fold; dots/plus preserved")),
-    )
+    local = "substring_index(n.h[0], '@', 1)"
+    good = _result("lower(n.h[0])", "'valid'", _flag("email_extracted_from_export_text", "n.h[0] <> n.t"), "NFKC + single-address extraction + case-fold; dots/plus preserved")
+    judged = f"""CASE WHEN size(n.h) > 1 THEN {_invalid("multiple_email_candidates", how)} WHEN size(n.h) = 0 THEN {_invalid("invalid_email_structure", how)}
+        WHEN {local} LIKE '.%' OR {local} LIKE '%.' OR {local} LIKE '%..%' THEN {_invalid("invalid_email_local_part", how)} ELSE {good} END"""
+    t = composed(x, plain)
+    return _settled(x, _let("n", f"named_struct('t', {t}, 'h', regexp_extract_all({t}, {literal(EMAIL)}, 0))", judged), plain)
 
 
-def normalize_hash(x: Column) -> Column:
-    t = F.lower(unicode_text(x))
-    how = "trim + case-fold + SHA-256 shape validation"
-    return _settled(x, F.when(t.rlike("^[0-9a-f]{64}$"), _result(t, F.lit("valid"), F.array(), how)).otherwise(_result(None, F.lit("invalid"), F.array(F.lit("invalid_sha256_hash")), how)))
+def normalize_hash(x: str, plain: bool) -> str:
+    t, how = f"lower({composed(x, plain)})", "trim + case-fold + SHA-256 shape validation"
+    return _settled(x, f"CASE WHEN {t} RLIKE '^[0-9a-f]{{64}}$' THEN {_result(t, literal('valid'), 'array()', how)} ELSE {_invalid('invalid_sha256_hash', how)} END", plain)
 
 
-def normalize_phone(x: Column) -> Column:
-    t = unicode_text(x)
-    digits = F.regexp_replace(t, r"(?U)\D", "")
-    plus = t.startswith("+")
-    how = "safe punctuation removal; no country inference"
-    return _settled(
-        x,
-        F.when(~t.rlike(PHONE_ALLOWED) | F.substring(t, 2, 1 << 30).contains("+"), _result(None, F.lit("invalid"), F.array(F.lit("invalid_phone_characters")), how))
-        .when(~F.length(digits).between(*config.PHONE_DIGITS), _result(None, F.lit("invalid"), F.array(F.lit("invalid_phone_length")), how))
-        .otherwise(_result(F.when(plus, F.concat(F.lit("+"), digits)).otherwise(digits), F.lit("valid"), _flags((~plus, "country_code_not_explicit")), "NFKC + safe punctuation removal; country code not inferred")),
-    )
+def normalize_phone(x: str, plain: bool) -> str:
+    t, how = composed(x, plain), "safe punctuation removal; no country inference"
+    digits = f"regexp_replace({t}, {literal(NOT_DIGIT if plain else UNICODE_NOT_DIGIT)}, '')"
+    least, most = config.PHONE_DIGITS
+    good = _result("if(n.t LIKE '+%', concat('+', n.d), n.d)", "'valid'", _flag("country_code_not_explicit", "NOT n.t LIKE '+%'"), "NFKC + safe punctuation removal; country code not inferred")
+    judged = f"""CASE WHEN NOT n.t RLIKE {literal(PHONE_ALLOWED)} OR contains(substring(n.t, 2), '+') THEN {_invalid("invalid_phone_characters", how)}
+        WHEN length(n.d) NOT BETWEEN {least} AND {most} THEN {_invalid("invalid_phone_length", how)} ELSE {good} END"""
+    return _settled(x, _let("n", f"named_struct('t', {t}, 'd', {digits})", judged), plain)
 
 
-def normalize_date(x: Column) -> Column:
-    t = unicode_text(x)
-    day = F.coalesce(
-        *(F.when(t.rlike(p), F.try_to_timestamp(t, F.lit(f))) for p, f in ((r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d")))
-    ).cast("date")
-    today = F.lit(config.REFERENCE_DATE).cast("date")
-    age = F.year(today) - F.year(day) - (F.date_format(today, "MMdd") < F.date_format(day, "MMdd")).cast("int")
-    how = "declared date format to ISO date"
-    valid = _result(F.date_format(day, "yyyy-MM-dd"), F.lit("valid"), _flags((age < 0, "future_date_of_birth"), (age > config.MAX_AGE, "age_above_plausible_limit")), how)
-    return _settled(x, F.when(day.isNull(), _result(None, F.lit("invalid"), F.array(F.lit("unrecognized_date_format")), how)).otherwise(valid))
+def normalize_date(x: str, plain: bool) -> str:
+    t, how = composed(x, plain), "declared date format to ISO date"
+    shapes = ((r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"))
+    day = "coalesce(" + ", ".join(f"if({t} RLIKE {literal(p)}, try_to_timestamp({t}, '{f}'), NULL)" for p, f in shapes) + ")"
+    today = f"DATE '{config.REFERENCE_DATE}'"
+    age = f"(year({today}) - year(d) - cast(date_format({today}, 'MMdd') < date_format(d, 'MMdd') AS int))"
+    flags = f"array_compact(array(if({age} < 0, 'future_date_of_birth', NULL), if({age} > {config.MAX_AGE}, 'age_above_plausible_limit', NULL)))"
+    good = _result("date_format(d, 'yyyy-MM-dd')", "'valid'", flags, how)
+    return _settled(x, _let("d", f"cast({day} AS date)", f"CASE WHEN d IS NULL THEN {_invalid('unrecognized_date_format', how)} ELSE {good} END"), plain)
 
 
-def normalize_identifier(x: Column) -> Column:
-    t = unicode_text(x)
-    return _settled(x, _result(F.nullif(t, F.lit("")), F.when(t == "", "missing").otherwise("valid"), F.array(), "NFKC + trim; case preserved"))
+def normalize_identifier(x: str, plain: bool) -> str:
+    return _settled(x, _let("t", composed(x, plain), _present("t", "array()", "NFKC + trim; case preserved")), plain)
 
 
-def normalize_postcode(x: Column) -> Column:
-    t = unicode_text(x)
-    v = F.upper(F.regexp_replace(t, r"(?U)[\s-]+", ""))
+def normalize_postcode(x: str, plain: bool) -> str:
     how = "NFKC + uppercase + safe space/hyphen removal"
-    return _settled(x, F.when(~t.rlike(r"(?U)^[\w\s-]+$"), _result(None, F.lit("invalid"), F.array(F.lit("invalid_postcode_characters")), how)).otherwise(_result(F.nullif(v, F.lit("")), F.when(v == "", "missing").otherwise("valid"), F.array(), how)))
+    body = f"CASE WHEN NOT t RLIKE {literal(POSTCODE)} THEN {_invalid('invalid_postcode_characters', how)} ELSE {_present(f'upper(regexp_replace(t, {literal(POSTCODE_GAP)}, {literal(str())}))', 'array()', how)} END"
+    return _settled(x, _let("t", composed(x, plain), body), plain)
 
 
-def normalize_country(x: Column) -> Column:
-    token = F.regexp_replace(F.upper(unicode_text(x)), "[^A-Z0-9]+", "")
-    known = F.create_map(*(F.lit(v) for kv in config.COUNTRY_ALIASES.items() for v in kv))[token]
+def normalize_country(x: str, plain: bool) -> str:
     how = "NFKC + ISO country alias mapping"
-    return _settled(x, F.when(known.isNull(), _result(None, F.lit("invalid"), F.array(F.lit("unknown_country_alias")), how)).otherwise(_result(known, F.lit("valid"), F.array(), how)))
+    known = "map(" + ", ".join(literal(v) for kv in config.COUNTRY_ALIASES.items() for v in kv) + f")[regexp_replace(upper({composed(x, plain)}), '[^A-Z0-9]+', '')]"
+    return _settled(x, _let("k", known, f"CASE WHEN k IS NULL THEN {_invalid('unknown_country_alias', how)} ELSE {_result('k', literal('valid'), 'array()', how)} END"), plain)
 
 
-def normalize(x: Column, concept: str) -> Column:
-    """value, status (valid, missing, invalid), flags and transformation of a concept's raw text."""
+def normalized(x: str, concept: str, plain: bool = False) -> str:
+    """SQL text of value, status (valid, missing, invalid), flags and transformation of a concept's raw text x; plain: of values that is_plain
+    holds of; else register() must have been called in the session."""
     kind = config.STRATEGY[concept]
     own = {"email": normalize_email, "sha256_hash": normalize_hash, "phone": normalize_phone, "date_of_birth": normalize_date, "identifier": normalize_identifier, "postcode": normalize_postcode, "country": normalize_country}
-    return own[kind](x) if kind in own else normalize_text(x, kind)
+    return own[kind](x, plain) if kind in own else normalize_text(x, kind, plain)
 
 
-# ---------------------------------------------------------------- profiling keys, hashes, masks
+def profiling(x: str, concept: str, plain: bool = False) -> str:
+    """SQL text of profiling_key."""
+    t = trimmed(x, plain)
+    key = folded(t, plain) if concept in ("email", "hashed_email") else f"if({t} RLIKE {literal(PHONE_ALLOWED)}, regexp_replace({t}, {literal(PHONE_PUNCTUATION)}, ''), {t})" if concept == "phone" else t
+    return f"CASE WHEN NOT {missing(x, plain)} THEN {key} END"
 
 
-def profiling_key(x: Column, concept: Column) -> Column:
-    t = trim(x)
-    return F.when(is_missing(x), None).when(concept.isin("email", "hashed_email"), casefold(t)).when((concept == "phone") & t.rlike(PHONE_ALLOWED), F.regexp_replace(t, r"(?U)[\s().-]+", "")).otherwise(t)
+# ---------------------------------------------------------------- profiling keys, hashes, masks
 
 
 def profiling_transformation(x: Column, concept: Column) -> Column:

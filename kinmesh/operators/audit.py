@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmesh.functions.text import is_missing
-
-
+from kinmesh.operators.skew import exact_median
 
 def exact_duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond the first of each group of equal ones, and such groups.  Grouped by a hash and length; the values don't travel."""
@@ -54,7 +53,7 @@ def inversions(rows: DataFrame, by: str, order: str, time: str) -> DataFrame:
 
 def impossible_orders(orders: DataFrame, factor: float = 3.0, last: str = "1998-01-01") -> DataFrame:
     """Keys of orders with a negative or outsized total, by the exact median, or a date beyond the last."""
-    median = orders.agg(F.median("o_totalprice").alias("m"))
+    median = exact_median(orders, "o_totalprice").select(F.col("median").alias("m"))
     high = orders.join(F.broadcast(median)).where(F.col("o_totalprice") >= factor * F.col("m")).select("o_orderkey")
     low = orders.where((F.col("o_totalprice") < 0) | (F.col("o_orderdate") > F.lit(last).cast("timestamp_ntz"))).select("o_orderkey")
     return low.union(high).distinct()

@@ -1,7 +1,7 @@
 """Candidate generation: frequency rule, block keys, capped blocks and pairs by an equi self-join.
 
-A value on more than 40 records takes no part, and no block of more than 40 records does, so a hot value is
-dropped before any pair is built and the self-join has no skew by construction."""
+A value on more than 40 records takes no part, and no block of more than 40 records does.  Both caps are applied by a group limit that
+works before the shuffle, so a value or key that all records share costs 41 rows a task, and pairs are built inside blocks of 40 at most."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinmesh import config
 from kinmesh.functions import text
 from kinmesh.operators.observe import valid
+from kinmesh.operators.skew import within
 
 UNIT = "\x1f"
 
@@ -37,8 +38,7 @@ def rule2_registry(values: DataFrame, threshold: int = config.RULE2_THRESHOLD) -
 def block_keys(values: DataFrame, threshold: int = config.RULE2_THRESHOLD) -> DataFrame:
     """Distinct (rule, key, rid): exact values of eligible frequency, and derived keys of every record."""
     exact = values.where(F.col("concept").isin(*config.EXACT_CONCEPTS))
-    eligible = frequency(exact).where(F.col("global_frequency").between(config.BLOCK_MIN, threshold))
-    out = exact.join(eligible, ["concept", "value"], "left_semi").select(F.concat(F.lit("exact_"), "concept").alias("rule"), F.col("value").alias("key"), "rid")
+    out = within(exact.select("concept", "value", "rid"), ["concept", "value"], ["rid"], config.BLOCK_MIN, threshold).select(F.concat(F.lit("exact_"), "concept").alias("rule"), F.col("value").alias("key"), "rid")
     v = F.col("value")
     single = {"email_skeleton": ("email", text.email_skeleton(v)), "email_sha256_bridge": ("email", F.sha2(v, 256)), "phone_suffix_9": ("phone", text.phone_suffix(v)), "numeric_account_reference": ("account_reference", text.numeric_account(v))}
     rules = F.array(*(F.when(F.col("concept") == c, F.struct(F.lit(r).alias("rule"), k.alias("key"))) for r, (c, k) in single.items()), F.when(F.col("concept") == "hashed_email", F.struct(F.lit("email_sha256_bridge").alias("rule"), F.lower(v).alias("key"))))
@@ -62,11 +62,17 @@ def blocks(keys: DataFrame) -> DataFrame:
     return keys.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(config.BLOCK_MIN, config.BLOCK_MAX))
 
 
+def in_blocks(keys: DataFrame) -> DataFrame:
+    """The keys of blocks that are kept."""
+    return within(keys, ["rule", "key"], ["rid"], config.BLOCK_MIN, config.BLOCK_MAX)
+
+
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """l, r (l < r) and rules, the sorted rules under which they meet.  At most 40 rows meet at a key."""
-    kept = keys.join(blocks(keys).select("rule", "key"), ["rule", "key"])
-    left, right = kept.select("rule", "key", F.col("rid").alias("l")), kept.select("rule", "key", F.col("rid").alias("r"))
-    return left.join(right, ["rule", "key"]).where("l < r").groupBy("l", "r").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    """l, r (l < r) and rules, the sorted rules under which they meet.  A block's records, 40 at most, are gathered where the cap has put them:
+    one shuffle by key and one by pair, and no join."""
+    block = in_blocks(keys).groupBy("rule", "key").agg(F.array_sort(F.collect_list("rid")).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, config.BLOCK_MAX), lambda b: F.struct(a.alias("l"), b.alias("r")))))
+    return block.select("rule", F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
 def rule_summary(keys: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -82,5 +88,5 @@ def reduction(n_records: Column, keys: DataFrame, pairs: DataFrame, records: Dat
     n = records.agg(n_records.alias("n_records"), all_pairs)
     sized = keys.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
     over = sized.agg(F.count_if((F.col("n") > config.BLOCK_MAX) & ~F.col("rule").startswith("exact_")).alias("oversized_keys"))
-    inside = keys.join(blocks(keys).select("rule", "key"), ["rule", "key"], "left_semi").agg(F.count_distinct("rid").alias("records_in_blocks"))
+    inside = in_blocks(keys).agg(F.count_distinct("rid").alias("records_in_blocks"))
     return n.join(pairs.agg(F.count(F.lit(1)).alias("candidates"))).join(over).join(inside).withColumn("reduction_pct", F.round(100.0 * (1 - F.col("candidates") / F.col("all_pairs")), 6))

@@ -1,13 +1,15 @@
 """Connected components by contraction: every round each node adopts its smallest neighbour, parents are
 shortened twice, and links are rewritten between parents until none is left.  A star of any size goes in one
-round, a path shrinks by a factor a round.  Nothing is collected; each round's tables lie in the shared folder."""
+round, a path shrinks by a factor a round.  Nothing is collected; each round's tables lie in the shared folder until the next round's
+are written.  The leaves of a giant component share their parent: that join keeps hot keys apart."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.storage import keep
+from kinmesh.operators.skew import hot_join
+from kinmesh.storage import drop, keep
 
 MOST_ROUNDS = 60
 
@@ -15,8 +17,7 @@ MOST_ROUNDS = 60
 def component_minimum(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs (a, b) of linked nodes; nodes (node, least).  Returns node, root (the smallest node of its
     component), root_least (the smallest non-null least there), for each node that has a link."""
-    edges = pairs.select("a", "b")
-    labels = None
+    edges, labels = pairs.select("a", "b"), None
     for n in range(MOST_ROUNDS):
         parents = (
             edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
@@ -24,23 +25,25 @@ def component_minimum(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             .agg(F.min("e.v").alias("v"))
             .select("u", F.least("u", "v").alias("p"))
         )
+        parents = keep(parents, f"parents{n}")
         for _ in range(2):
-            parents = keep(parents, f"parents{n}")
             up = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            parents = parents.join(up, "p").select("u", F.col("q").alias("p"))
-        parents = keep(parents, f"parents{n}")
+            old, parents = parents, keep(hot_join(parents, up, "p").select("u", F.col("q").alias("p")), f"parents{n}")
+            drop(old)
+        old = labels
         if labels is None:
-            labels = parents.select(F.col("u").alias("node"), F.col("p").alias("root"))
+            labels = keep(parents.select(F.col("u").alias("node"), F.col("p").alias("root")), "labels0")
         else:
-            labels = labels.join(parents, labels.root == parents.u, "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels = keep(labels, f"labels{n}")
+            labels = keep(labels.join(parents, labels.root == parents.u, "left").select("node", F.coalesce("p", "root").alias("root")), f"labels{n}")
         left = parents.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         right = parents.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        edges = keep(
+        before, edges = edges, keep(
             edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
             f"edges{n}",
         )
+        drop(old, before, parents)
         if edges.isEmpty():
+            drop(edges)
             break
     else:
         raise RuntimeError(f"components are not done after {MOST_ROUNDS} rounds")
@@ -57,5 +60,6 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def star_edges(members: DataFrame) -> DataFrame:
     """members (token, node): edges from each node to the smallest of its token; linear, where all pairs would be a clique."""
+    members = keep(members.select("token", "node"), "members")
     least = members.groupBy("token").agg(F.min("node").alias("a"))
-    return members.join(least, "token").where("node <> a").select("a", members["node"].alias("b")).distinct()
+    return hot_join(members, least, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()

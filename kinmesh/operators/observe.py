@@ -2,43 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmesh.functions import text
 
 
-def observations(records: DataFrame, fields: dict[str, dict[str, str]], verified: Column | None = None) -> DataFrame:
-    """Unpivot records (rid, source, record_ordinal, source_record_id and raw columns) by fields (source -> raw field -> concept).
+IDS = "rid, source, record_ordinal, source_record_id"
+
+
+def _each_value(records: DataFrame, fields: dict[str, dict[str, str]], build: Callable[[str, str, bool], str], record_ids: bool) -> DataFrame:
+    """IDS and build(field, concept, plain)'s struct o for each record and field.  Each field is a projection of its own (its column and the ids are all
+    that a columnar source reads for it), small enough for the JVM to compile well.  Only values that need them reach the Arrow functions: those are
+    exploded from the records that have any."""
+    spark = records.sparkSession
+    text.register(spark)
+    parts, column = [], lambda f: f"cast(`{f}` AS string)"
+    for source, own in fields.items():
+        pairs = sorted({*own.items(), *([("source_record_id", "source_record_id")] if record_ids else [])})
+        here, plain = f"source = {text.literal(source)}", {f: text.is_plain(column(f), c) for f, c in pairs}
+        parts += [f"SELECT {IDS}, {build(f, c, True)} AS o FROM records WHERE {here} AND {plain[f]}" for f, c in pairs]
+        odd = ", ".join(f"named_struct('odd', NOT {plain[f]}, 'o', {build(f, c, False)})" for f, c in pairs)
+        parts.append(f"SELECT {IDS}, v.o FROM (SELECT {IDS}, explode(array({odd})) AS v FROM records WHERE {here} AND NOT ({' AND '.join(plain.values())})) WHERE v.odd")
+    whole = " UNION ALL ".join(parts).replace("{", "{{").replace("}", "}}").replace("FROM records", "FROM {records}")
+    return spark.sql(whole, records=records)
+
 
-    Each field's value is normalized as its own column expression before it is unpivoted, so no row is
-    dispatched by concept.  A field that a source lacks gives no row; a null value of one it has is missing.
+def observations(records: DataFrame, fields: dict[str, dict[str, str]], verified: str | None = None) -> DataFrame:
+    """Unpivot records (rid, source, record_ordinal, source_record_id and raw columns) by fields (source -> raw field -> concept).  verified: a
+    condition under which a record's e-mail is verified.
+
+    Each field's value is normalized as its own expression, so no row is dispatched by concept.  A field that a source lacks
+    gives no row; a null value of one it has is missing.
     """
-    wide = sorted({(f, c) for m in fields.values() for f, c in m.items()} | {("source_record_id", "source_record_id")})
-    parts = []
-    for field, concept in wide:
-        has = [s for s, m in fields.items() if field in m] if field != "source_record_id" else list(fields)
-        raw = F.col(f"`{field}`").cast("string")
-        role = F.when(F.lit(field == "source_record_id"), "source_record_key").when(verified if verified is not None and concept == "email" else F.lit(False), "verified_identifier").otherwise("observed_identifier")
-        parts.append(F.struct(F.col("source").isin(has).alias("has"), F.lit(field).alias("raw_field"), F.lit(concept).alias("canonical_concept"), raw.alias("raw_value"), text.normalize(raw, concept).alias("n"), role.alias("evidence_role")))
-    long = records.select("rid", "source", "record_ordinal", "source_record_id", F.explode(F.array(*parts)).alias("o")).where("o.has")
-    value, concept = F.col("o.raw_value"), F.col("o.canonical_concept")
-    return long.select(
-        "rid",
-        "source",
-        "record_ordinal",
-        "source_record_id",
-        "o.raw_field",
-        concept.alias("canonical_concept"),
-        value.alias("raw_value"),
-        text.profiling_key(value, concept).alias("profiling_key"),
-        F.col("o.n.value").alias("normalized_value"),
-        F.col("o.n.status").alias("normalization_status"),
-        ((F.col("o.n.status") == "valid") & (F.col("o.n.value") != value)).alias("normalization_changed"),
-        F.col("o.n.transformation").alias("transformation"),
-        F.col("o.n.flags").alias("quality_flags"),
-        F.col("o.evidence_role").alias("evidence_role"),
-    )
+
+    def build(field: str, concept: str, plain: bool) -> str:
+        raw = f"cast(`{field}` AS string)"
+        role = "'source_record_key'" if field == "source_record_id" else f"if({verified}, 'verified_identifier', 'observed_identifier')" if verified and concept == "email" else "'observed_identifier'"
+        return f"named_struct('raw_field', {text.literal(field)}, 'canonical_concept', '{concept}', 'raw_value', {raw}, 'profiling_key', {text.profiling(raw, concept, plain)}, 'n', {text.normalized(raw, concept, plain)}, 'evidence_role', {role})"
+
+    return _each_value(records, fields, build, True).selectExpr(
+        *IDS.split(", "), "o.raw_field", "o.canonical_concept", "o.raw_value", "o.profiling_key", "o.n.value AS normalized_value", "o.n.status AS normalization_status",
+        "o.n.status = 'valid' AND o.n.value <> o.raw_value AS normalization_changed", "o.n.transformation AS transformation", "o.n.flags AS quality_flags", "o.evidence_role",
+    )
+
+
+def record_values(records: DataFrame, fields: dict[str, dict[str, str]], verified: str | None = None) -> DataFrame:
+    """Distinct (rid, source, concept, value, verified) of the records' valid values, record ids aside.  Values are shuffled only for sources that
+    map two fields to one concept; elsewhere a record has each value once by itself."""
+
+    def build(field: str, concept: str, plain: bool) -> str:
+        sure = f"coalesce({verified}, false)" if verified and concept == "email" else "false"
+        return f"named_struct('concept', '{concept}', 'n', {text.normalized(f'cast(`{field}` AS string)', concept, plain)}, 'verified', {sure})"
+
+    def of(some: dict[str, dict[str, str]]) -> DataFrame:
+        return _each_value(records, some, build, False).where("o.n.status = 'valid' AND o.n.value <> ''").selectExpr("rid", "source", "o.concept", "o.n.value", "o.verified")
+
+    doubled = {s: m for s, m in fields.items() if len(set(m.values())) < len(m)}
+    single = {s: m for s, m in fields.items() if s not in doubled}
+    return reduce(DataFrame.unionByName, [*([of(single)] if single else []), *([of(doubled).distinct()] if doubled else [])])
 
 
 def valid(obs: DataFrame) -> DataFrame:

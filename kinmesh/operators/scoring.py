@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from kinmesh import config
 from kinmesh.functions import text
 from kinmesh.operators.blocking import record_sets
+from kinmesh.operators.skew import within
 
 USABLE = ("email", "hashed_email", "phone", "device_id", "account_reference", "payment_token", "provider_id", "date_of_birth", "postcode", "country")
 NAMES = ("full_name", "first_name", "last_name", "city")
 
 
-def usable(values: DataFrame, high: DataFrame) -> DataFrame:
-    """values without those of the registry: they are neither evidence nor conflict.  Names and cities are never dropped."""
-    keep = values.where(F.col("concept").isin(*NAMES))
-    rest = values.where(F.col("concept").isin(*USABLE)).join(high.select("concept", "value"), ["concept", "value"], "left_anti")
+def usable(values: DataFrame, high: DataFrame | None = None) -> DataFrame:
+    """values without those of the registry: they are neither evidence nor conflict.  Names and cities are never dropped.  Without a registry, those above
+    the threshold are told by a group limit before the shuffle: no hot value's rows meet."""
+    values = values.select("rid", "concept", "value")
+    keep, some = values.where(F.col("concept").isin(*NAMES)), values.where(F.col("concept").isin(*USABLE))
+    rest = within(some, ["concept", "value"], ["rid"], 1, config.RULE2_THRESHOLD) if high is None else some.join(high.select("concept", "value"), ["concept", "value"], "left_anti")
     return rest.unionByName(keep.select(rest.columns))
 
 
-def records(values: DataFrame, high: DataFrame, verified: DataFrame, ids: DataFrame) -> DataFrame:
-    """What scoring reads of a record: its value sets, derived sets and logical id.  verified: distinct (rid, value) of verified e-mails."""
+def records(values: DataFrame, high: DataFrame | None, verified: DataFrame, ids: DataFrame) -> DataFrame:
+    """What scoring reads of a record: its value sets, derived sets and logical id.  verified: distinct (rid, value) of verified e-mails; of these the
+    record's usable ones count.  high: the registry, or None (see usable)."""
     own = usable(values, high)
     sets = record_sets(own, (*USABLE, *NAMES))
-    ok = verified.join(high.where("concept = 'email'").select("value"), "value", "left_anti").groupBy("rid").agg(F.array_sort(F.collect_set("value")).alias("verified"))
+    ok = verified.groupBy("rid").agg(F.collect_set("value").alias("said"))
     none = F.array().cast("array<string>")
     set_of = lambda c: F.coalesce(F.col(f"v_{c}"), none)
     derived = lambda c, f: F.array_distinct(F.array_compact(F.transform(set_of(c), f)))
@@ -37,7 +41,7 @@ def records(values: DataFrame, high: DataFrame, verified: DataFrame, ids: DataFr
             "source",
             "source_record_id",
             *(set_of(c).alias(c) for c in USABLE),
-            F.coalesce("verified", none).alias("verified"),
+            F.array_intersect(set_of("email"), F.coalesce("said", none)).alias("verified"),
             derived("email", text.email_skeleton).alias("skeleton"),
             derived("email", lambda x: F.sha2(x, 256)).alias("email_hash"),
             derived("phone", text.phone_suffix).alias("suffix"),

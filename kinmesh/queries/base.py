@@ -33,14 +33,22 @@ class Steps:
     def truth(self) -> DataFrame:
         return self.identity.select("rid", "source", "source_record_id", "person_id")
 
+    @cached_property
+    def _fields(self) -> dict[str, dict[str, str]]:
+        return {s: {c: c for c in cs} for s, cs in view.VIEW_FIELDS.items()}
+
     @cached_property
     def obs(self) -> DataFrame:
-        fields = {s: {c: c for c in cs} for s, cs in view.VIEW_FIELDS.items()}
-        return observe.observations(self.identity.drop("person_id"), fields, F.col("email_role") == "verified_identifier")
+        return observe.observations(self.identity.drop("person_id"), self._fields, "email_role = 'verified_identifier'")
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """Every record's distinct valid values, and whether they are verified."""
+        return keep(observe.record_values(self.identity.drop("person_id"), self._fields, "email_role = 'verified_identifier'"), "values")
 
     @cached_property
     def values(self) -> DataFrame:
-        return keep(blocking.concept_values(self.obs), "values")
+        return self.seen.drop("verified")
 
     @cached_property
     def high(self) -> DataFrame:
@@ -56,8 +64,7 @@ class Steps:
 
     @cached_property
     def records(self) -> DataFrame:
-        verified = observe.valid(self.obs).where("canonical_concept = 'email' AND evidence_role = 'verified_identifier'").select("rid", F.col("normalized_value").alias("value")).distinct()
-        return keep(scoring.records(self.values, self.high, verified, self.ids), "records")
+        return keep(scoring.records(self.values, None, self.seen.where("verified").select("rid", "value"), self.ids), "records")
 
     @cached_property
     def scored_plan(self) -> DataFrame:

@@ -3,12 +3,14 @@ checked before any action, and a blank record id fails the read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmesh import config
 from kinmesh.sources.xlsx import register as register_xlsx
+from kinmesh.storage import keep
 
 
 class SourceError(ValueError):
@@ -34,13 +36,24 @@ def check_columns(df: DataFrame, source: str) -> DataFrame:
 
 def _with_record(df: DataFrame, source: str) -> DataFrame:
     """source, record_ordinal (from 1, in file order) and source_record_id; a blank id raises.  The ordinal is laid down here, at
-    ingestion, by the order of one file's rows; nothing later infers it."""
+    ingestion; nothing later infers it.  Rows are numbered inside each split of a file as it is read, and splits, in order of file and
+    offset, are shifted by the counts of those before them."""
     key = get(config.SOURCES[source]["record_id"]).cast("string")
     blank = F.coalesce(F.trim(key), F.lit("")) == ""
-    checked = df.withColumn("source_record_id", F.when(blank, F.raise_error(F.lit(f"{source}: blank record id"))).otherwise(key))
-    schema = T.StructType([*checked.schema.fields, T.StructField("record_ordinal", T.LongType())])
-    rows = checked.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return checked.sparkSession.createDataFrame(rows, schema).withColumn("source", F.lit(source))
+    columns = df.columns
+    try:
+        place = [c.alias(n) for c, n in ((df["_metadata.file_path"], "__file"), (df["_metadata.file_block_start"], "__start"))]
+        df.select(*place)
+    except AnalysisException:  # a source of one partition has no such column
+        place = [F.lit("").alias("__file"), F.lit(0).cast("long").alias("__start")]
+    rows = keep(df.select(*(F.col(f"`{c}`") for c in columns), *place, F.monotonically_increasing_id().alias("__row")), "records")
+    splits = rows.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    # a row a split, of a file's 128 MB: few beside the records
+    before = F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    at = rows.join(splits.select("__file", "__start", (before - F.col("__first") + 1).alias("__shift")), ["__file", "__start"])
+    return at.select(
+        *(F.col(f"`{c}`") for c in columns), F.when(blank, F.raise_error(F.lit(f"{source}: blank record id"))).otherwise(key).alias("source_record_id"), (F.col("__row") + F.col("__shift")).alias("record_ordinal"), F.lit(source).alias("source")
+    )
 
 
 def read_csv(spark: SparkSession, path: str, source: str) -> DataFrame:

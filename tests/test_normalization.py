@@ -37,14 +37,25 @@ CASES = [
 
 
 def test_golden(spark):
+    text.register(spark)
     for concept in sorted({c[0] for c in CASES}):
         rows = [c for c in CASES if c[0] == concept]
         df = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "i int, x string")
-        got = {r.i: r.n for r in df.select("i", text.normalize(F.col("x"), concept).alias("n")).collect()}
+        got = {r.i: r.n for r in df.select("i", F.expr(text.normalized("x", concept)).alias("n")).collect()}
         for i, (_, raw, value, status, flags) in enumerate(rows):
             assert (got[i].value, got[i].status, got[i].flags) == (value, status, flags), (concept, raw)
 
 
+def test_plain_rules_agree(spark):
+    """Values that is_plain holds of get the same from the built-in functions alone, and no plan of theirs has Python in it."""
+    text.register(spark)
+    for concept in sorted({c[0] for c in CASES}):
+        df = spark.createDataFrame([(r[1],) for r in CASES if r[0] == concept] + [("a  B\t$",), ("+1 234 567 890",), ("x\x1f",), (" ",), ("7 up",)], "x string").where(text.is_plain("x", concept))
+        both = df.select(F.expr(text.normalized("x", concept, True)).alias("a"), F.expr(text.normalized("x", concept)).alias("b"), F.expr(text.profiling("x", concept, True)).alias("k"), F.expr(text.profiling("x", concept)).alias("l"))
+        assert all(r.a == r.b and r.k == r.l for r in both.collect())
+        assert "Python" not in df.select(F.expr(text.normalized("x", concept, True)))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("a.b+tag@example.test", "+999123456789", "000123", "0")], "e string, p string, a string, z string")
     r = df.select(text.email_skeleton(F.col("e")), text.phone_suffix(F.col("p")), text.numeric_account(F.col("a")), text.numeric_account(F.col("z")), text.email_skeleton(F.lit("a@b@c")), text.phone_suffix(F.lit("12345678")), text.numeric_account(F.lit("x1"))).first()

@@ -40,9 +40,15 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i, ["a", "b"]) for i in range(50)], "i int, x array<string>")
     assert sinks.content_hash(df) == sinks.content_hash(df.repartition(7)) != sinks.content_hash(df.where("i > 0"))
     sinks.export_csv(df, str(tmp_path / "out"), ["i"])
+    sinks.export_csv(df, str(tmp_path / "one"), ["i"], single=True)
+    assert len(list((tmp_path / "one").glob("*.gz"))) == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first().x == "a;b"
-    sinks.write_manifest(str(tmp_path / "m.json"), {"a": 1})
+    sinks.write_manifest(spark, str(tmp_path / "m.json"), {"a": 0})
+    sinks.write_manifest(spark, str(tmp_path / "m.json"), {"a": 1})
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": 1}
+    assert sinks.remove_stale(spark, str(tmp_path / "m.json"), str(tmp_path / "none")) == [str(tmp_path / "m.json")] and not (tmp_path / "m.json").exists()
+    text = sinks.report("R", {"a": df.limit(1), "b": "words"})
+    assert text.startswith("# R") and "| i | x |" in text and "## b" in text and sinks.markdown_table([{"a": "x|y"}]).endswith("| x\\|y |")
 
 
 def test_plan(spark, sf_dir, tmp_path):
