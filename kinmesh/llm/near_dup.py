@@ -4,13 +4,18 @@ Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, 4-word shingles (r
 XXH64 seed 42; a bit is 1 if set in over half of the hashes.  Fingerprints link at ``threshold`` or fewer
 differing bits; a group is a connected component of links.
 
-Search: the 64 bits are three bands of 21, 21 and 22 bits.  Four differing bits over three bands leave
-one band with at most one difference, so a band is searched with threshold 1.  The anchors of a band are
-a covering code: the perfect Hamming [15,11] code (covering radius 1) on its first 15 bits, times all
+Search: the 64 bits are cut into blocks, and projections onto some blocks are searched with threshold 1.  With three blocks a
+projection is one block: four differing bits leave one block with at most one.  With m of six or more blocks a projection is m - 3
+blocks: were every one to differ in two bits or more, then so would the m - 3 blocks that differ least; either one of them differs in
+two, and the three others in two each, eight in all, or two of them differ, and the three others too, five in all.  The anchors of a
+projection are a covering code: the perfect Hamming code of 2^r - 1 bits (covering radius 1) on its first bits, times all
 values of the rest.  A fingerprint is at home at its nearest anchor and is replicated to every anchor
-within covering radius plus threshold (2); two fingerprints that agree in a band up to one bit therefore
+within covering radius plus threshold (2); two fingerprints that agree in a projection up to one bit therefore
 meet at the home of either.  They are compared per anchor over all 64 bits.  No link can be lost.
 
+More blocks mean longer projections, so more anchors and fewer comparisons, and more replicas.  The code is chosen by the number of
+distinct fingerprints (``cover``), so that neither outgrows the other: 42 replicas for millions, 340 for billions, 1400 beyond.
+
 Equal texts, and all documents without a word, share a fingerprint; only distinct fingerprints are
 searched, so groups of copies cost one row.  Null text: no words.  Null doc_id: takes part, is never the
 smallest id of a group that has another, and a group of only null ids has a null component_id.
@@ -19,23 +24,20 @@ Repeated rows and repeated ids keep their rows.  Empty table: empty result.
 
 from __future__ import annotations
 
-from itertools import accumulate, repeat
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmesh.llm.components import component_minimum
+from kinmesh.operators.graph import component_minimum
 from kinmesh.llm.shared import keep, partitions
 
 SEED = 42
 SHINGLE = 4
 THRESHOLD = 4
-BANDS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
-BAND_THRESHOLD = THRESHOLD // len(BANDS)
-HAMMING_BITS = 15
 _CHUNK = 1 << 16
 
 
@@ -71,70 +73,94 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- anchors
 
 
-def _syndromes() -> np.ndarray:
-    """Of each 15-bit value: the xor of the 1-based places of its set bits."""
-    values, out = np.arange(1 << HAMMING_BITS), np.zeros(1 << HAMMING_BITS, dtype=np.int64)
-    for place in range(HAMMING_BITS):
-        out ^= np.where(values >> place & 1, place + 1, 0)
-    return out
-
-
-def _masks() -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome: the error of the nearest codeword, and those of weight two (nearest is repeated where there are none)."""
-    near = np.array([0] + [1 << s - 1 for s in range(1, 16)], dtype=np.int64)
-    pairs = [[0] * 7] + [[1 << i - 1 | 1 << j - 1 for i in range(1, 16) for j in range(i + 1, 16) if i ^ j == s] for s in range(1, 16)]
-    return near, np.array(pairs, dtype=np.int64)
-
-
-SYNDROMES = _syndromes()
-NEAREST, AT_TWO = _masks()
-
-
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Home anchors (n x bands) and all anchors in reach (n x m) of signed-long fingerprints; -1 fills up."""
-    homes, reach = [], []
-    for band, (first, width) in enumerate(BANDS):
-        value = (fps.view(np.uint64) >> np.uint64(first)).astype(np.int64) & (1 << width) - 1
-        code, rest = value & (1 << HAMMING_BITS) - 1, value >> HAMMING_BITS
-        syndrome = SYNDROMES[code]
-        key = lambda c, r: np.int64(band) << 40 | r << HAMMING_BITS | c  # noqa: B023, E731
-        home = code ^ NEAREST[syndrome]
-        homes.append(key(home, rest))
-        two = np.where((syndrome == 0)[:, None], -1, key(code[:, None] ^ AT_TWO[syndrome], rest[:, None]))
-        flips = [key(home, rest ^ (1 << i)) for i in range(width - HAMMING_BITS)]
-        reach += [homes[-1][:, None], two, np.stack(flips, axis=1)]
-    return np.stack(homes, axis=1), np.concatenate(reach, axis=1)
-
-
-def _replicate(nodes: DataFrame, home: bool) -> DataFrame:
+class Cover:
+    """Projections onto blocks of bits, and the Hamming code of 2**order - 1 bits on the first bits of each."""
+
+    def __init__(self, blocks: int, order: int):
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        cut = [(a, b - a) for a, b in zip(edges, edges[1:])]
+        self.projections = [(c,) for c in cut] if blocks == 3 else list(combinations(cut, blocks - 3))
+        self.code_bits = (1 << order) - 1
+        self.masks = [sum(((1 << w) - 1) << a for a, w in p) for p in self.projections]
+        # bit k of a word's syndrome is the parity of its bits at places (from 1) that have bit k
+        self.checks = [np.int64(sum(1 << i - 1 for i in range(1, self.code_bits + 1) if i >> k & 1)) for k in range(order)]
+        places = range(1, self.code_bits + 1)
+        self.nearest = np.array([0] + [1 << s - 1 for s in places], dtype=np.int64)
+        #: The errors of weight two with each syndrome; none leads from a codeword to another.
+        self.at_two = np.array([[0] * (self.code_bits // 2)] + [[1 << i - 1 | 1 << (i ^ s) - 1 for i in places if i < i ^ s] for s in places], dtype=np.int64)
+        free = [sum(w for _, w in p) - self.code_bits for p in self.projections]
+        #: Replicas of a fingerprint, at most, and comparisons a pair of them costs on the mean.
+        self.replicas = sum(1 + self.code_bits // 2 + f for f in free)
+        self.chance = sum((1 + self.code_bits // 2 + f) / 2.0 ** (f + self.code_bits - order) for f in free)
+
+    def syndromes(self, code: np.ndarray) -> np.ndarray:
+        return sum((np.bitwise_count(code & c) & 1).astype(np.int64) << k for k, c in enumerate(self.checks))
+
+    def anchors(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Home anchors (n x projections) and all anchors in reach (n x m) of signed-long fingerprints; -1 fills up."""
+        homes, reach = [], []
+        for number, projection in enumerate(self.projections):
+            value, at = np.zeros(len(fps), dtype=np.int64), 0
+            for first, width in projection:
+                value |= ((fps.view(np.uint64) >> np.uint64(first)).astype(np.int64) & (1 << width) - 1) << at
+                at += width
+            code, rest = value & self.code_bits_mask, value >> self.code_bits
+            syndrome = self.syndromes(code)
+            key = lambda c, r: np.int64(number) << PLACE | r << self.code_bits | c  # noqa: B023, E731
+            home = code ^ self.nearest[syndrome]
+            homes.append(key(home, rest))
+            two = np.where((syndrome == 0)[:, None], -1, key(code[:, None] ^ self.at_two[syndrome], rest[:, None]))
+            flips = key(home[:, None], rest[:, None] ^ np.int64(1) << np.arange(at - self.code_bits))
+            reach += [homes[-1][:, None], two, flips]
+        return np.stack(homes, axis=1), np.concatenate(reach, axis=1)
+
+    @property
+    def code_bits_mask(self) -> int:
+        return (1 << self.code_bits) - 1
+
+
+#: Bits of an anchor's key below its projection's number; projections have fewer.
+PLACE = 56
+COVERS = tuple(Cover(*x) for x in ((3, 4), (6, 5), (8, 5)))
+#: What a comparison costs, in replicas.
+COMPARISON = 0.01
+
+
+def cover(n: int) -> int:
+    """The number of the cover that costs least for n distinct fingerprints."""
+    return min(range(len(COVERS)), key=lambda k: COVERS[k].replicas + COMPARISON * COVERS[k].chance * n)
+
+
+def _replicate(nodes: DataFrame, number: int, home: bool) -> DataFrame:
     def run(batches):
+        own = COVERS[number]
+        rows = max(64, 170_000 // own.replicas)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                fps = batch.column(0).to_numpy(zero_copy_only=False)[at : at + 4096]
-                keys = anchors(fps)[0 if home else 1]
+            for at in range(0, batch.num_rows, rows):
+                fps = batch.column(0).to_numpy(zero_copy_only=False)[at : at + rows]
+                keys = own.anchors(fps)[0 if home else 1]
                 every, flat = np.repeat(fps, keys.shape[1]), keys.ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(flat[flat >= 0]), pa.array(every[flat >= 0])], names=["anchor", "fp"])
 
     return nodes.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-def _differ(x: Column, first: int, width: int) -> Column:
-    mask = ((1 << width) - 1) << first
-    return F.bit_count(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, number: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at THRESHOLD or fewer differing bits, each once:
-    at the home anchor of a, in the first band with at most one difference (anchors reach some pairs with two, too)."""
-    home = _replicate(nodes, True).withColumnRenamed("fp", "a")
-    near = _replicate(nodes, False).withColumnRenamed("fp", "b")
+    at the home anchor of a, in the first projection with at most one difference (anchors reach some pairs with two, too)."""
+    number = cover(nodes.count()) if number is None else number
+    home = _replicate(nodes, number, True).withColumnRenamed("fp", "a")
+    near = _replicate(nodes, number, False).withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
-    band = F.shiftright("anchor", 40)
-    first = F.lit(True)
-    for n, (at, width) in enumerate(BANDS):
-        near_here = _differ(x, at, width) <= BAND_THRESHOLD
-        first = first & F.when(band == n, near_here).when(band > n, ~near_here).otherwise(True)
-    return home.join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= THRESHOLD) & first).select("a", "b")
+    masks = F.array(*(F.lit(_signed(m)).cast("long") for m in COVERS[number].masks))
+    here = F.shiftright("anchor", PLACE).cast("int")
+    near_in = lambda m: F.bit_count(x.bitwiseAND(m)) <= 1
+    first = near_in(F.get(masks, here)) & ~F.exists(F.slice(masks, F.lit(1), here), near_in)
+    return home.join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= THRESHOLD)).where(first).select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ kinds of sequences (which lengths, how often that kind is used), and each piece
 rank among the pieces of its length.  Ranks are counted in each task and shifted by the counts of earlier
 tasks, so no length's pieces ever meet in one task.
 
-Search: the incumbent is best fit decreasing.  If it doesn't meet the lower bound, the sequence around the
-largest piece is completed in every undominated way (no piece or group in it could be swapped for a larger
-waiting piece that still fits), in batches of at most FILLINGS or STEPS, least waste first in each; the rest
-come when a batch's branches are done.  A branch ends when its waste exceeds what a better solution may waste;
-best fit on what is left renews the incumbent at each node.  WORK bounds the nodes and later batches.  It
-limits how long a better solution is sought, never which pieces are packed; with many lengths it ends the
-search long before all completions are tried, so the result there is mostly best fit decreasing.
+Search: the incumbent is best fit decreasing.  While it doesn't meet the lower bound, branches complete the sequence around the
+largest piece in undominated ways (no piece or group in it could be swapped for a larger waiting piece that still fits).
+The first branch of a node takes the largest pieces whose waste stays within the even share of what a better solution may
+waste; sums that pieces can reach are bits of one number, so that it costs about a shift a length.  They also give the least
+waste of any completion: a node whose sequence must waste more than a better solution may is cut off, and so is one whose rest
+can't do by the lower bound.  A kind of sequence is used as often as its pieces last, or once.  The other completions come in batches of at
+most FILLINGS or STEPS, least waste first in each.  Best fit on what is left renews the incumbent.  The search ends at
+the lower bound, when all is tried, or after WORK; that limits how long a better solution is sought, never which
+pieces are packed.
 
 Null text: as empty, the end id alone.  Null or repeated doc_id: packed like any other row.  Empty table: empty result.
 """
@@ -21,6 +23,7 @@ Null text: as empty, the end id alone.  Null or repeated doc_id: packed like any
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,8 +39,16 @@ from kinmesh.llm.token_ids import encoder, tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
-#: Nodes times distinct lengths that the search may visit.
-WORK = 500_000
+#: Nodes times distinct lengths (and LEAST more) that the search may visit.
+WORK, LEAST = 20_000_000, 200
+#: Pieces of a completion up to which groups of two and three are tried for swaps; of more, single pieces are.
+GROUPED = 16
+#: Even shares of the waste that a better solution may have, that a node's first completion may waste; the search runs once for each.
+SHARES = (1, 0)
+#: What a batch of completions counts for, in nodes.
+BATCH = 20
+#: Best fit on what is left renews the incumbent at nodes of at most FEW distinct lengths, and at each of that many others.
+FEW = 64
 #: Fillings in a batch, and the steps that look for them.
 FILLINGS, STEPS = 96, 4000
 
@@ -98,26 +109,23 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Kin
 def fillings(counts: dict[int, int], largest: int, waste: int, capacity: int = CAPACITY) -> Iterator[list[tuple[int, ...]]]:
     """All undominated completions of a sequence that holds largest, with waste at most waste, in batches; least waste first in each."""
     have = {x: n - (x == largest) for x, n in counts.items()}
-    lengths = [x for x in sorted(have, reverse=True) if have[x] > 0 and x <= capacity - largest]
+    rising = sorted(x for x in have if have[x] > 0 and x <= capacity - largest)
+    lengths = rising[::-1]
     found: dict[tuple[int, ...], int] = {}
     smallest = lengths[-1] if lengths else capacity + 1
     steps = STEPS
-    used: dict[int, int] = {}
-    stack = [(0, capacity - largest, ())]
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, capacity - largest, ())]
     while stack:
         if not steps or len(found) == FILLINGS:
             yield _ordered(found)
             found, steps = {}, STEPS
         steps -= 1
         i, left, chosen = stack.pop()
-        if left < smallest or i == len(lengths):
-            if left <= waste and not _dominated(chosen, left, lengths, have):
-                found[chosen] = left
-            continue
-        used = {x: chosen.count(x) for x in set(chosen)}
-        fit = next((j for j in range(i, len(lengths)) if lengths[j] <= left and have[lengths[j]] > used.get(lengths[j], 0)), None)
-        if fit is None:
-            if left <= waste and not _dominated(chosen, left, lengths, have):
+        fit = max(i, len(lengths) - bisect_right(rising, left)) if left >= smallest else len(lengths)
+        while fit < len(lengths) and have[lengths[fit]] <= chosen.count(lengths[fit]):
+            fit += 1
+        if fit >= len(lengths):
+            if left <= waste and not _dominated(chosen, left, rising, have):
                 found[chosen] = left
             continue
         stack.append((fit + 1, left, chosen))  # without any more of this length
@@ -130,17 +138,52 @@ def _ordered(found: dict[tuple[int, ...], int]) -> list[tuple[int, ...]]:
 
 
 def _dominated(chosen: tuple[int, ...], left: int, lengths: list[int], have: dict[int, int]) -> bool:
-    """Whether a waiting piece could take the place of some chosen ones (or of none) and still fit."""
-    for k in range(min(len(chosen), 3) + 1):
-        for group in set(combinations(chosen, k)):
+    """Whether a waiting piece could take the place of some chosen ones (or of none) and still fit.  lengths rise."""
+    for k in range(min(len(chosen), 3 if len(chosen) <= GROUPED else 1) + 1):
+        for group in set(combinations(chosen, k)) if k > 1 else {(x,) for x in chosen} if k else {()}:
             total = sum(group)
-            low = total + (k <= 1)  # one piece only by a larger one
-            for x in lengths:
-                if low <= x <= total + left and have[x] > chosen.count(x) - group.count(x) and x not in group:
+            for i in range(bisect_left(lengths, total + (k <= 1)), len(lengths)):  # one piece only by a larger one
+                x = lengths[i]
+                if x > total + left:
+                    break
+                if x not in group and have[x] > chosen.count(x):
                     return True
     return False
 
 
+def completion(counts: dict[int, int], largest: int, waste: int, capacity: int = CAPACITY) -> tuple[tuple[int, ...], int]:
+    """The completion of a sequence that holds largest, of the largest pieces that waste at most that (or as little as can be, if that is
+    more), and the least waste of any completion.  It is undominated: with a larger waiting piece in place of some of its own, or one more
+    piece, it would waste less and come first."""
+    room = capacity - largest
+    within = (1 << room + 1) - 1
+    reach, below = 1, []  # bit s: a sum s can be had of the pieces so far; below: before each length
+    for x in sorted(x for x in counts if x <= room):
+        n = min(counts[x] - (x == largest), room // x)
+        if n > 0:
+            below.append((x, n, reach))
+            step = 1
+            while n:  # n copies as sums of 1, 2, 4 and so on of them
+                step = min(step, n)
+                reach |= reach << x * step & within
+                n -= step
+                step *= 2
+    least = room - (reach.bit_length() - 1)
+    waste = min(room, max(waste, least))
+    window = (1 << waste + 1) - 1
+    left, chosen = room, []
+    for x, n, before in reversed(below):
+        if left < x:
+            continue
+        k = min(n, left // x)
+        # some sum of the shorter pieces must fill what is left up to the waste
+        while k and not (before >> left - k * x - waste & window if left - k * x >= waste else before & (1 << left - k * x + 1) - 1):
+            k -= 1
+        chosen += [x] * k
+        left -= k * x
+    return tuple(chosen), least
+
+
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, work: int = WORK) -> list[tuple[Kind, int]]:
     """Kinds of sequences and how many of each, that hold all pieces; as few sequences as the search finds."""
     counts = {x: n for x, n in counts.items() if n}
@@ -149,44 +192,70 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, work: int = WO
         return full
     size = lambda plan: sum(n for _, n in plan)
     best = best_fit(counts, capacity)
-    bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
-    nodes = max(1, work // len(counts))
+    found, bound, total = size(best), lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
 
-    def branches(left: dict[int, int], done: list[tuple[Kind, int]], wasted: int, allowed: int) -> Iterator:
-        """What follows a node, one at a time; None ahead of each batch of fillings after the first."""
+    def branches(share: int, left: dict[int, int], done: tuple, used: int, wasted: int) -> Iterator:
+        """What follows a node, one at a time; None ahead of each batch of fillings."""
         largest = max(left)
-        for i, batch in enumerate(fillings(left, largest, allowed, capacity)):
-            if i:
-                yield None
+        allowed = (found - 1) * capacity - total - wasted
+        first, least = completion(left, largest, share * allowed // max(1, bound - used), capacity)
+        if least > allowed:
+            return
+        yield from follow(left, done, used, wasted, (largest, *first))
+        for batch in fillings(left, largest, (found - 1) * capacity - total - wasted, capacity):
+            yield None
             for chosen in batch:
-                pieces = (largest, *chosen)
-                kind = tuple((x, pieces.count(x)) for x in sorted(set(pieces), reverse=True))
-                times = min(left[x] // k for x, k in kind)
-                for n in sorted({times, 1}, reverse=True):
-                    waste = (capacity - sum(pieces)) * n
-                    if waste <= allowed:
-                        rest = left | {x: left[x] - k * n for x, k in kind}
-                        yield {x: m for x, m in rest.items() if m}, [*done, (kind, n)], wasted + waste
-
-    stack: list[Iterator] = [iter([(counts, [], 0)])]
-    while stack and nodes and size(best) > bound:
-        if (node := next(stack[-1], False)) is False:
-            stack.pop()
-            continue
-        nodes -= 1
-        if node is None:
-            continue
-        left, done, wasted = node
-        if (size(best) - 1) * capacity - total - wasted < 0:
-            continue
-        if done:
-            whole = done + best_fit(left, capacity)
-            if size(whole) < size(best):
-                best = whole
-        allowed = (size(best) - 1) * capacity - total - wasted
-        if allowed < 0 or not left or size(done) + lower_bound(left, capacity) >= size(best):
-            continue
-        stack.append(branches(left, done, wasted, allowed))
+                if chosen != first:
+                    yield from follow(left, done, used, wasted, (largest, *chosen))
+
+    def follow(left: dict[int, int], done: tuple, used: int, wasted: int, pieces: tuple[int, ...]) -> Iterator:
+        kind = tuple((x, pieces.count(x)) for x in sorted(set(pieces), reverse=True))
+        waste, times = capacity - sum(pieces), min(left[x] // k for x, k in kind)
+        for n in sorted({min(times, max(1, ((found - 1) * capacity - total - wasted) // waste if waste else times)), 1}, reverse=True):
+            if wasted + waste * n <= (found - 1) * capacity - total:
+                rest = left.copy()
+                for x, k in kind:
+                    rest[x] -= k * n
+                    if not rest[x]:
+                        del rest[x]
+                yield rest, (done, (kind, n)), used + n, wasted + waste * n
+
+    def plan(done: tuple) -> list[tuple[Kind, int]]:
+        out = []
+        while done:
+            done, last = done
+            out.append(last)
+        return out[::-1]
+
+    for share in SHARES:  # all over again with another first branch, unless the search is done
+        stack: list[Iterator] = [iter([(counts, (), 0, 0)])]
+        nodes, seen = max(1, work // (len(counts) + LEAST) // len(SHARES)), 0
+        fewest: dict[frozenset, int] = {}  # sequences with which each small rest was reached
+        while stack and nodes > 0 and found > bound:
+            if (node := next(stack[-1], False)) is False:
+                stack.pop()
+                continue
+            nodes -= 1
+            if node is None:
+                nodes -= BATCH
+                continue
+            left, done, used, wasted = node
+            if (found - 1) * capacity - total - wasted < 0:
+                continue
+            seen += 1
+            if len(left) <= FEW:
+                if fewest.get(key := frozenset(left.items()), found) <= used:
+                    continue
+                fewest[key] = used
+            if done and (len(left) <= FEW or seen % FEW == 0):
+                rest = best_fit(left, capacity) if left else []
+                if used + size(rest) < found:
+                    best, found = plan(done) + rest, used + size(rest)
+            if not left or (found - 1) * capacity - total - wasted < 0 or used + lower_bound(left, capacity) >= found:
+                continue
+            stack.append(branches(share, left, done, used, wasted))
+        if not stack or found <= bound:
+            break
     return full + best
 
 

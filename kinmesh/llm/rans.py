@@ -1,9 +1,10 @@
 """Token ids in static range asymmetric numeral system (rANS) files.
 
 All segments share one frequency table, counted over the whole corpus.  A segment holds consecutive documents
-in ascending doc_id order and is a file of its own:
+in ascending doc_id order; a file is SEGMENTS segments at most, each followed by a line feed:
 
-  header   magic, version, scale bits, table CRC-32, documents, tokens, blocks      (little-endian throughout)
+  header   magic, version, scale bits, table CRC-32, task, segment, documents, blocks, tokens, bytes
+           (little-endian throughout; task and segment are its place in the order)
   index    a null flag and doc_id (int64), and n_tokens (uint32), for each document
   blocks   tokens, lanes, checkpoints, words (uint32 each), CRC-32 of the ids, CRC-32 of what follows;
            lane states (uint64); checkpoints (word position uint64, lane states); words (uint32)
@@ -28,24 +29,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmesh.llm.shared import keep, partitions
+from kinmesh.llm.shared import drop, keep, kept_path, partitions
 from kinmesh.llm.token_ids import encoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MAGIC = b"RANSTOK\0"
-HEADER = struct.Struct("<8sHHIIQI")
+HEADER = struct.Struct("<8sHHIIIIIQQ")
 BLOCK = struct.Struct("<IIIIII")
-VERSION = 1
+VERSION = 2
 SCALE = 20
 LOW = np.uint64(1 << 31)
 BLOCK_TOKENS = 1 << 19
 LANES = 2048
 CHECK_STEPS = 128
 SEGMENT_TOKENS = 1 << 20
+SEGMENTS = 8
 #: Text that is encoded at once.
 SLICE_BYTES = 2 << 20
 
@@ -159,19 +161,34 @@ def decode_block(data: memoryview, table: Table, first_step: int = 0, last_step:
 # ---------------------------------------------------------------- segments
 
 
-def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, table: Table) -> bytes:
+def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, table: Table, place: tuple[int, int] = (0, 0)) -> bytes:
     blocks = [encode_block(ids[i : i + BLOCK_TOKENS], table) for i in range(0, len(ids), BLOCK_TOKENS)]
     flags = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     keys = np.array([x or 0 for x in doc_ids], dtype="<i8")
-    out = b"".join([HEADER.pack(MAGIC, VERSION, SCALE, table.crc, len(doc_ids), len(ids), len(blocks)), flags.tobytes(), keys.tobytes(), np.array(lengths, dtype="<u4").tobytes(), *blocks])
+    parts = [flags.tobytes(), keys.tobytes(), np.array(lengths, dtype="<u4").tobytes(), *blocks]
+    size = HEADER.size + sum(map(len, parts)) + 4
+    out = b"".join([HEADER.pack(MAGIC, VERSION, SCALE, table.crc, *place, len(doc_ids), len(blocks), len(ids), size), *parts])
     return out + struct.pack("<I", zlib.crc32(out))
 
 
+def segments_of(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Task, segment and bytes of each segment of a file."""
+    at = 0
+    while at < len(data):
+        if len(data) - at < HEADER.size or data[at : at + len(MAGIC)] != MAGIC:
+            raise RansError("no segment begins here")
+        *_, task, segment, _, _, _, size = HEADER.unpack_from(data, at)
+        if data[at + size : at + size + 1] != b"\n":
+            raise RansError("the file is cut short")
+        yield task, segment, data[at : at + size]
+        at += size + 1
+
+
 def decode_segment(data: bytes, table: Table) -> tuple[list[int | None], list[int], np.ndarray]:
     view = memoryview(data)
     if len(data) < HEADER.size + 4 or zlib.crc32(view[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
         raise RansError("segment checksum")
-    magic, version, scale, crc, n_docs, n_tokens, n_blocks = HEADER.unpack_from(data)
+    magic, version, scale, crc, _, _, n_docs, n_blocks, n_tokens, _ = HEADER.unpack_from(data)
     if (magic, version, scale) != (MAGIC, VERSION, SCALE):
         raise RansError("not a segment of this version")
     if crc != table.crc:
@@ -194,7 +211,6 @@ def decode_segment(data: bytes, table: Table) -> tuple[list[int | None], list[in
 
 
 CHUNK = "task int, segment int, n_tokens long, doc_ids array<bigint>, lengths array<int>, ids binary"
-SEGMENT = "task int, segment int, n_tokens long, data binary"
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -267,9 +283,10 @@ def frequency_table(chunks: DataFrame) -> Table:
     return Table.of_counts(counts)
 
 
-def write_segments(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, Table]:
-    """The stored segments (task, segment, n_tokens, data: a whole file each) and their table.  They lie in a
-    Parquet table, so that Spark's commit protocol and any file system it writes to serve them."""
+def write_files(docs: DataFrame, path: str | None = None) -> tuple[str, Table, DataFrame]:
+    """Write docs' token files to a folder of the shared folder; the folder, the frequency table, and the place (task, segment) and first token of
+    each segment.  Spark's text writer takes a row's bytes as they are and ends it with a line feed: so its commit protocol, on any
+    file system that it writes to, serves binary files."""
     spark = docs.sparkSession
     chunks = keep(token_chunks(docs, path or tokenizer_path(TOKENIZER), partitions(spark)), "chunks")
     table = frequency_table(chunks)
@@ -280,38 +297,42 @@ def write_segments(docs: DataFrame, path: str | None = None) -> tuple[DataFrame,
         for batch in batches:
             for i in range(batch.num_rows):
                 task, segment, n, keys, lengths, raw = (c[i].as_py() for c in batch.columns)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task], pa.int32()), pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([encode_segment(keys, lengths, _ids(raw, n), own)], pa.binary())],
-                    names=["task", "segment", "n_tokens", "data"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([encode_segment(keys, lengths, _ids(raw, n), own, (task, segment))], pa.binary())], names=["data"])
 
-    return keep(chunks.mapInArrow(run, SEGMENT), "segments", "none"), table
+    folder = kept_path(spark, "token-files")
+    chunks.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", SEGMENTS).text(folder)
+    by = keep(chunks.select("task", "segment", "n_tokens"), "places")
+    drop(chunks)
+    tasks = by.groupBy("task").agg(F.sum("n_tokens").alias("n"))
+    # a row a task under the first window; the segments of a task under the second
+    earlier = tasks.select("task", (F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("earlier"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    return folder, table, by.withColumn("inside", inside).join(earlier, "task").select("task", "segment", (F.col("earlier") + F.col("inside")).alias("before"))
 
 
-def read_documents(segments: DataFrame, table: Table) -> DataFrame:
-    """doc_id, start (tokens of all documents before), n_tokens, ids_crc32, from the segments' bytes."""
-    shipped = segments.sparkSession.sparkContext.broadcast(table.freq)
+def read_files(spark: SparkSession, folder: str, table: Table, places: DataFrame) -> DataFrame:
+    """doc_id, start (tokens of all documents before), n_tokens, ids_crc32, from the files' bytes."""
+    shipped = spark.sparkContext.broadcast(table.freq)
 
     def run(batches):
         own = Table(shipped.value)
         for batch in batches:
-            for i in range(batch.num_rows):
-                task, segment, data = (c[i].as_py() for c in batch.columns)
-                keys, lengths, ids = decode_segment(data, own)
-                raw = ids.astype("<u4").tobytes()
-                starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(starts[:-1]), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["task", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"],
-                )
-
-    docs = segments.select("task", "segment", "data").mapInArrow(run, "task int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    # a row a segment, each of SEGMENT_TOKENS or more but a task's last: the one window over all stays small
-    before = segments.select("task", "segment", (F.sum("n_tokens").over(Window.orderBy("task", "segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("before"))
-    return docs.join(before, ["task", "segment"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+            for data in batch.column(0):
+                for task, segment, part in segments_of(data.as_py()):
+                    keys, lengths, ids = decode_segment(part, own)
+                    raw = ids.astype("<u4").tobytes()
+                    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([task] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(starts[:-1]), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
+                        names=["task", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"],
+                    )
+
+    files = spark.read.format("binaryFile").load(folder).select("content")
+    docs = files.mapInArrow(run, "task int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return docs.join(places, ["task", "segment"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return read_documents(*write_segments(docs, path))
+    return read_files(docs.sparkSession, *write_files(docs, path))

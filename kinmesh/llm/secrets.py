@@ -12,7 +12,7 @@ owner-specific live-looking credential.  Opaque tokens that are live and not ins
 as spans of kind ``live``; base spans always stay.
 
 An owner is a document's source; a repository is its source and language.  Null source or language count as
-one unknown owner or repository.  Null text: as empty, no spans.  Empty table: empty result.  Repeated rows
+one unknown owner or repository.  Very long texts are scanned whole.  Null text: as empty, no spans.  Empty table: empty result.  Repeated rows
 and ids keep their rows (rows are told apart by a row number, not by doc_id).
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmesh.llm.shared import keep
+from kinmesh.operators.skew import hot_join
 
 # The patterns of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -74,15 +76,28 @@ def opaque_tokens(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[0]) for m in OPAQUE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and entropy(m[0]) >= ENTROPY]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones as one; spans that only touch stay apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str) -> tuple[list[dict], list[dict]]:
     """The base spans and the candidates (base values first) of a text."""
     base = base_spans(text)
     found = {}
     for kind, a, b, value in base:
         found[kind, a, b] = (value, looks_live(value))
-    taken = [(a, b) for _, a, b, _ in base]
+    taken = merged([(a, b) for _, a, b, _ in base])
+    starts = [a for a, _ in taken]
     for a, b, value in opaque_tokens(text):
-        if not any(a < y and x < b for x, y in taken):
+        k = bisect_left(starts, b)  # of the spans that begin before the token ends, the last one ends last
+        if not k or taken[k - 1][1] <= a:
             found["live", a, b] = (value, looks_live(value))
     digest = lambda v: hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32]
     return (
@@ -132,9 +147,9 @@ def _order(kind):
 def judged_marks(rows: DataFrame) -> DataFrame:
     """Of each row that holds a candidate: marks (begin, place, stop, kind, hash, live, n_owners, n_repositories)
     by start, then kind as listed; live: looks live and has fewer than WIDE owners."""
-    found = rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("c")).select("row", "owner", "repository", "c.*")
+    found = keep(rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("c")).select("row", "owner", "repository", "c.*"), "candidates")
     mark = F.struct("begin", _order(F.col("kind")).alias("place"), "stop", "kind", "hash", (F.col("live") & (F.col("n_owners") < WIDE)).alias("live"), "n_owners", "n_repositories")
-    return found.join(ownership(found), "hash").groupBy("row").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    return hot_join(found, ownership(found), "hash").groupBy("row").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -163,22 +178,27 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every live span of its text replaced by mark (overlapping spans by one), and n_chars, where
     docs has it, counted anew.  Widely copied examples stay, and so does every other text.  Columns and rows are those of docs."""
     rows = keep(scan_documents(docs, carry=True).withColumn("row", F.monotonically_increasing_id()), "redact")
-    marks = judged_marks(rows).select("row", F.filter("marks", lambda s: s["live"]).alias("marks")).where(F.size("marks") > 0)
+    spans = F.transform(F.filter("marks", lambda s: s["live"]), lambda s: F.struct(s["begin"].alias("begin"), s["stop"].alias("stop")))
+    marks = judged_marks(rows).select("row", spans.alias("spans")).where(F.size("spans") > 0)
     clean = rows.where(F.size("found") == 0).select("doc.*")
     some = rows.where(F.size("found") > 0).select("row", "doc").join(marks, "row", "left")
-    return clean.unionByName(some.select(*(_redacted(docs, c, mark) for c in docs.columns)))
-
-
-def _redacted(docs: DataFrame, name: str, mark: str) -> F.Column:
-    old = F.col("doc")[name]
-    if name not in ("text", "n_chars"):
-        return old.alias(name)
-    text = F.col("doc")["text"]
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    # what stands before the span is kept; a span that begins inside the last one only moves the end
-    step = lambda acc, s: F.struct(
-        F.when(s["begin"] >= acc["at"], F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"),
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-    )
-    new = F.aggregate("marks", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.col("marks").isNull(), old).otherwise(new if name == "text" else F.length(new).cast(docs.schema[name].dataType)).alias(name)
+    same = some.where("spans IS NULL").select("doc.*")
+    kind = some.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            new = [redacted(t, [(s["begin"], s["stop"]) for s in x], mark) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc", "text"])
+
+    hidden = some.where("spans IS NOT NULL").select("doc", "doc.text", "spans").mapInArrow(run, f"doc {kind}, text string")
+    value = {"text": F.col("text"), "n_chars": F.length("text")}
+    changed = hidden.select(*((value[c] if c in value else F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return clean.unionByName(same).unionByName(changed)
+
+
+def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    out, at = [], 0
+    for a, b in merged(spans):
+        out += (text[at:a], mark)
+        at = b
+    return "".join(out) + text[at:]

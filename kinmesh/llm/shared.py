@@ -1,54 +1,12 @@
-"""What the corpus operators share: the word rule, shared-folder tables and let-bindings for native expressions."""
+"""What the corpus operators share: the word rule, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from kinmesh.functions.expressions import let
+from kinmesh.storage import drop, keep, kept_path, partitions, table
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["SPACES", "WORD", "drop", "keep", "kept_path", "let", "partitions", "table"]
 
 #: Words are runs of other characters than these: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-#: Used only where the session sets no spark.checkpoint.dir (tests, a single machine).
-DEFAULT_SHARED = "/tmp/checkpoints/kinmesh"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by the cluster in spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
-
-
-#: Shuffle files of a write are let go when it ends: what it wrote is read from then on.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def keep(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost
-    executors, and fixes what a later read sees (row ids, partition numbers)."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kept/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is evaluated once: a lambda's argument is bound, where a column named twice
-    inside a lambda would be evaluated for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

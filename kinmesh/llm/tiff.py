@@ -5,13 +5,16 @@ bits; no compression, LZW, deflate (both codes) and PackBits; predictors 1, 2 (h
 3 (floating point).  Pixels come out row by row, samples interleaved, 16 and 32 bits little-endian, rows of
 less than 8 bits a sample padded to a byte; the padding of edge tiles is cut off.
 
-A page that can't be decoded gives a row with null pixels and its error; the pages before it and after it stay.
+A page that can't be decoded (no rows a strip, needed tags without values, sizes that the stored bytes can't hold, strips beyond the
+file or cut short, damaged codes) gives a row with null pixels and its error; the pages before it and after it stay.
 A null or empty value gives no page.  A directory chain that turns back ends there.  Equal bytes, equal rows.
+Very long files are read whole.  Extra columns of any name ride along in the struct ``file``.  Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -40,9 +43,13 @@ class TiffError(ValueError):
 # ---------------------------------------------------------------- codecs
 
 
-def packbits_decode(data: bytes) -> bytes:
+#: Bytes that one byte of stored data can at most stand for, by compression.
+RATIO = {NONE: 1, PACKBITS: 128, LZW: 4096, DEFLATE: 1040, DEFLATE_OLD: 1040}
+
+
+def packbits_decode(data: bytes, most: int = sys.maxsize) -> bytes:
     out, at, end = bytearray(), 0, len(data)
-    while at < end:
+    while at < end and len(out) < most:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -80,12 +87,14 @@ def packbits_encode(row: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = sys.maxsize) -> bytes:
     """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
     singles = [bytes((i,)) for i in range(256)] + [b"", b""]
     words, width, last, out = singles[:], 9, None, []
-    have = bits = 0
+    have = bits = size = 0
     for byte in data:
+        if size >= most:
+            break
         have = have << 8 | byte
         bits += 8
         if bits < width:
@@ -114,6 +123,7 @@ def lzw_decode(data: bytes) -> bytes:
             if len(words) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(word)
+        size += len(word)
         last = word
     return b"".join(out)
 
@@ -157,15 +167,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpack(compression: int, data: bytes) -> bytes:
+def _unpack(compression: int, data: bytes, size: int) -> bytes:
+    """The first size bytes of what was packed, or all there is; no more than that is ever held."""
     if compression == NONE:
-        return data
+        return data[:size]
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)[:size]
     if compression in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size) if size else b""
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, size)[:size]
     raise TiffError(f"compression {compression} isn't known")
 
 
@@ -222,7 +233,7 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             where = at + 10 + 12 * i
             if size > 4:
                 (where,) = struct.unpack_from(order + "I", data, where)
-            if where + size <= len(data):
+            if count and where + size <= len(data):
                 tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where)
         yield order, tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
@@ -234,7 +245,7 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
     tiled = TILE_OFFSETS in tags
     page = {"width": width, "height": height, "bits": bits, "samples": samples, "compression": compression, "predictor": predictor, "tiled": tiled}
-    if not width or not height or bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, (1,)))) > 1:
+    if not width or not height or not samples or bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, (1,)))) > 1:
         raise TiffError("size or sample width isn't supported")
     offsets, lengths = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS), tags.get(TILE_BYTES if tiled else STRIP_BYTES)
     if offsets is None or lengths is None or len(offsets) != len(lengths):
@@ -242,17 +253,28 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     planes, each = (samples, 1) if one(PLANAR, 1) == 2 and samples > 1 else (1, samples)
     wide = one(TILE_WIDTH) if tiled else width
     high = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
+    if not wide or not high:
+        raise TiffError("a strip or tile without rows or columns")
+    if tiled and wide * each * bits % 8:
+        raise TiffError("a tile's row doesn't end with a byte")
+    if predictor == 3 and bits < 16:
+        raise TiffError("predictor 3 on samples of under 16 bits")
+    if compression not in RATIO:
+        raise TiffError(f"compression {compression} isn't known")
     across, down = -(-width // wide), -(-height // high)
     if len(offsets) < across * down * planes:
         raise TiffError("strips or tiles are missing")
     row, part_row = -(-width * each * bits // 8), -(-wide * each * bits // 8)
+    # what the header claims is allocated only if the stored bytes can hold it
+    if planes * height * row > RATIO[compression] * sum(min(n, len(data)) for n in lengths[: planes * across * down]):
+        raise TiffError("the image is larger than its strips or tiles can be")
     image = np.zeros((planes, height, row), dtype=np.uint8)
     for n in range(planes * across * down):
         plane, y, x = n // (across * down), n // across % down * high, n % across
         rows = high if tiled else min(high, height - y)
         if offsets[n] + lengths[n] > len(data):
             raise TiffError("strip or tile beyond the file")
-        raw = _unpack(compression, data[offsets[n] : offsets[n] + lengths[n]])[: rows * part_row]
+        raw = _unpack(compression, data[offsets[n] : offsets[n] + lengths[n]], rows * part_row)
         if len(raw) < rows * part_row:
             raise TiffError("strip or tile is too short")
         part = np.frombuffer(_undo(predictor, raw, rows, wide, each, bits, order), np.uint8).reshape(rows, part_row)
@@ -277,8 +299,8 @@ def pages(data: bytes | None) -> Iterator[dict]:
             try:
                 row |= decode_page(data, order, tags)
                 row["feature"] = feature(row["pixels"], row["width"], row["height"])
-            except (TiffError, zlib.error, ValueError, TypeError, struct.error) as e:
-                row["error"] = str(e)
+            except (ValueError, TypeError, LookupError, ArithmeticError, MemoryError, zlib.error, struct.error) as e:
+                row["error"] = str(e) or type(e).__name__
             yield row
     except (TiffError, struct.error) as e:
         yield dict.fromkeys(("width", "height", "bits", "samples", "compression", "predictor", "tiled", "pixels", "feature")) | {"page": n, "error": str(e)}

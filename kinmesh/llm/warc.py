@@ -9,7 +9,9 @@ same input always gives the same records.
 
 Responses are read from WARC bytes: plain or gzip members, header lines in any case and folded, HTTP payloads
 chunked and gzip- or deflate-coded.  A record that can't be read gives one row with its error and no record, and
-reading goes on at the next header; so does a gzip member that can't be inflated, with all that is in it.  A
+reading goes on at the next header; so does a gzip member that can't be inflated, with all that is in it.  A charset that
+isn't one is read as UTF-8.  All headers of the response are kept in order, repeated ones too.  Very long payloads are
+read whole, in time linear in their length.  A
 digest that doesn't hold is reported, not dropped.  Records of other types give no row.
 
 From a table of pages: null url, no target URI; null html, an empty payload.  Repeated rows give repeated
@@ -19,6 +21,7 @@ records.  Empty table: empty result.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
@@ -35,7 +38,7 @@ from kinmesh.llm.html_crf import leaf_blocks
 #: The date of records built from a table that has none.
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6f0d5b52-6c0e-5d0c-9a3e-2f6b1d7c9e10")
-ROW = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, status int, content_type string, source_headers map<string,string>, source_payload_digest string, source_block_digest string, digest_state string, block_digest string, content_length long, block string, record binary, error string"
+ROW = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, status int, content_type string, source_headers array<struct<name:string,value:string>>, source_payload_digest string, source_block_digest string, digest_state string, block_digest string, content_length long, block string, record binary, error string"
 
 
 class WarcError(ValueError):
@@ -114,6 +117,7 @@ def _starts(data: bytes) -> bool:
         return False
 
 
+BLANK = re.compile(rb"\r?\n\r?\n")
 HEADER, NEXT = re.compile(rb"WARC/\d+\.\d+\r?\n(.*?)\r?\n\r?\n", re.S), re.compile(rb"(?<=\n)WARC/\d+\.\d+\r?\n")
 
 
@@ -124,19 +128,23 @@ def _read(file: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes | WarcErro
             yield [], data
             continue
         at, end = 0, len(data.rstrip(b"\r\n"))
+        blank = BLANK.search(data)
         while at < end:
             while data[at : at + 1] in (b"\r", b"\n"):
                 at += 1
-            m = HEADER.match(data, at)
-            # a header that runs into the next record's has no end of its own
-            if not m or NEXT.search(data, at + 1, m.end()):
-                follows = NEXT.search(data, at + 1)
+            # a header that runs into the next record's has no end of its own; each byte is looked at a few times at most
+            if blank is not None and blank.start() < at:
+                blank = BLANK.search(data, at)
+            m = HEADER.match(data, at, blank.end()) if blank else None
+            follows = NEXT.search(data, at + 1, blank.end()) if blank else None
+            if not m or follows:
+                follows = follows or NEXT.search(data, blank.end() if blank else at + 1)
                 yield [], WarcError("no record header")
                 at = follows.start() if follows else end
                 continue
             fields = _fields(m[1])
             size = _first(fields, "Content-Length")
-            stop = m.end() + int(size) if size and size.isdigit() else None
+            stop = m.end() + int(size) if size and re.fullmatch("[0-9]{1,18}", size) else None
             if stop is not None and stop <= len(data) and not re.compile(rb"[\r\n]*(?:WARC/|\Z)").match(data, stop) and NEXT.search(data, m.end(), stop):
                 stop = None  # ends within a later record
             if stop is None or stop > len(data):
@@ -195,9 +203,22 @@ def charset(headers: list[tuple[str, str]], body: bytes) -> str:
     found = said[1] if said else None
     if not found and (m := re.search(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:4096], re.I)):
         found = m[1].decode()
+    return decoder(found or "utf-8")
+
+
+#: Codecs of the language, which no page is written in.
+NOT_CHARSETS = frozenset("punycode idna undefined mbcs oem unicode-escape raw-unicode-escape".split())
+
+
+def decoder(name: str) -> str:
+    """name, in lower case, if it is a text encoding that can decode any bytes; else utf-8."""
     try:
-        return "".encode(found or "utf-8") is not None and (found or "utf-8").lower()
-    except LookupError:
+        found = codecs.lookup(name) if "\0" not in name else None
+        if found is None or not found._is_text_encoding or found.name in NOT_CHARSETS:
+            return "utf-8"
+        bytes(range(256)).decode(name, "replace")
+        return name.lower()
+    except (LookupError, ValueError):  # some names are no encodings, and some encodings only speak up when used
         return "utf-8"
 
 
@@ -242,7 +263,7 @@ def derive(fields: list[tuple[str, str]], block: bytes) -> list[dict]:
         head += [(k, v) for k, v in (("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)) if v]
         head += [*kept, ("WARC-Block-Digest", digest(raw)), ("WARC-Payload-Digest", digest(raw)), ("Content-Type", mime)]
         rows.append(
-            dict(record_type=record_type, record_id=own, refers_to=source, target_uri=target, warc_date=date, status=status, content_type=mime, source_headers=list({k.lower(): v for k, v in headers}.items()), source_payload_digest=claims["payload"] or digest(payload), source_block_digest=claims["block"] or digest(block), digest_state=state, block_digest=digest(raw), content_length=len(raw), block=content, record=write_record(head, raw), error=None)
+            dict(record_type=record_type, record_id=own, refers_to=source, target_uri=target, warc_date=date, status=status, content_type=mime, source_headers=[{"name": k.lower(), "value": v} for k, v in headers], source_payload_digest=claims["payload"] or digest(payload), source_block_digest=claims["block"] or digest(block), digest_state=state, block_digest=digest(raw), content_length=len(raw), block=content, record=write_record(head, raw), error=None)
         )
     return rows
 
@@ -258,8 +279,8 @@ def derivatives(data: bytes | None) -> Iterator[dict]:
         elif (_first(fields, "WARC-Type") or "").lower() == "response":
             try:
                 yield from derive(fields, block)
-            except WarcError as e:
-                yield dict.fromkeys(NAMES) | {"refers_to": _first(fields, "WARC-Record-ID"), "error": str(e)}
+            except (ValueError, LookupError, ArithmeticError, MemoryError, zlib.error) as e:
+                yield dict.fromkeys(NAMES) | {"refers_to": _first(fields, "WARC-Record-ID"), "error": str(e) or type(e).__name__}
 
 
 def response_record(key: int | None, url: str | None, page: bytes | None, date: str = DATE) -> bytes:
@@ -288,8 +309,8 @@ def page_responses(pages: DataFrame) -> DataFrame:
 
 def build_derivatives(files: DataFrame, key: str, warc: str = "warc") -> DataFrame:
     """key (a long) of each file and ROW's columns for each derivative of its responses."""
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "map<string": pa.map_(pa.string(), pa.string())}
-    kinds = [types[x.split()[1].split(",")[0]] for x in ROW.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<struct<name:string,value:string>>": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))}
+    kinds = [types[x.split()[1]] for x in ROW.split(", ")]
 
     def run(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from kinmesh.llm import near_dup as N
-from kinmesh.llm.components import component_minimum
+from kinmesh.operators.graph import component_minimum
 
 
 def brute(text):
@@ -39,22 +39,32 @@ def test_fingerprint():
         assert N.fingerprint(None if t is None else t.encode()) == brute(t)
 
 
-def test_anchors_lose_no_link():
+@pytest.mark.parametrize("cover", N.COVERS)
+def test_anchors_lose_no_link(cover):
     rng = np.random.default_rng(4)
-    x = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    x = rng.integers(0, 2**64, 1500, dtype=np.uint64)
     y = x.copy()
     for _ in range(4):
         y ^= np.uint64(1) << rng.integers(0, 64, len(y)).astype(np.uint64)
-    home, _ = N.anchors(x.view(np.int64))
-    _, reach = N.anchors(y.view(np.int64))
-    assert (home[:, :, None] == reach[:, None, :]).any(axis=(1, 2)).all()
-    assert reach.shape[1] < 50
+    home, _ = cover.anchors(x.view(np.int64))
+    _, reach = cover.anchors(y.view(np.int64))
+    hit = np.zeros(len(x), dtype=bool)
+    for k in range(home.shape[1]):
+        hit |= (reach == home[:, k : k + 1]).any(axis=1)
+    assert hit.all() and reach.shape[1] == cover.replicas and reach.max() < 2**62
 
 
-def test_hamming_covers():
-    code = np.arange(1 << 15)
-    near = code ^ N.NEAREST[N.SYNDROMES[code]]
-    assert (N.SYNDROMES[near] == 0).all() and (np.bitwise_count((near ^ code).astype(np.uint64)) <= 1).all()
+@pytest.mark.parametrize("cover", N.COVERS)
+def test_hamming_covers(cover):
+    code = np.random.default_rng(0).integers(0, cover.code_bits_mask + 1, 1 << 15)
+    near = code ^ cover.nearest[cover.syndromes(code)]
+    assert (cover.syndromes(near) == 0).all() and (np.bitwise_count(near ^ code) <= 1).all()
+    assert all((cover.syndromes(pairs) == s).all() for s, pairs in enumerate(cover.at_two) if s)
+
+
+def test_longer_codes_for_more_fingerprints():
+    assert [N.cover(n) for n in (0, 10**6, 10**9, 10**12)] == [0, 0, 1, 2]
+    assert all(len(set(c.masks)) == len(c.masks) and max(m.bit_length() for m in c.masks) == 64 for c in N.COVERS)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -105,10 +115,11 @@ def test_components_of_paths_and_stars(spark):
     assert got == {n: (r, 2 * r) for n, r in root.items()}
 
 
-def test_each_link_comes_once(spark):
+@pytest.mark.parametrize("number", range(len(N.COVERS)))
+def test_each_link_comes_once(spark, number):
     rng = random.Random(5)
     fps, want = set(), set()
-    for _ in range(1500):
+    for _ in range(300):
         a = rng.getrandbits(64)
         b = a
         for bit in rng.sample(range(64), rng.choice([3, 4])):
@@ -116,5 +127,5 @@ def test_each_link_comes_once(spark):
         a, b = (x - (1 << 64) if x >> 63 else x for x in (a, b))
         fps |= {a, b}
         want.add((min(a, b), max(a, b)))
-    got = [tuple(r) for r in N.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()]
+    got = [tuple(r) for r in N.links(spark.createDataFrame([(x,) for x in fps], "fp long"), number).collect()]
     assert len(got) == len(set(got)) and set(got) == want

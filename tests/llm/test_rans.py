@@ -74,3 +74,24 @@ def test_documents(spark, monkeypatch, segment):
     keys = [r.doc_id for r in got]
     assert keys == sorted(keys, key=lambda k: (k is None, k or 0))
     assert rans.token_file_report(df.where("false")).collect() == []
+
+
+def test_files_hold_the_format(spark, monkeypatch):
+    """Binary files in the folder, read without Spark: segments in their places, with all documents in ascending order."""
+    from pathlib import Path
+
+    monkeypatch.setattr(rans, "SEGMENT_TOKENS", 40)
+    monkeypatch.setattr(rans, "SLICE_BYTES", 60)
+    df = spark.createDataFrame([(i, "some words and others " * (i % 9)) for i in range(200)], "doc_id long, text string").repartition(5)
+    folder, table, _ = rans.write_files(df)
+    files = sorted(Path(folder.removeprefix("file:")).glob("part-*"))
+    found = {}
+    for f in files:
+        parts = list(rans.segments_of(f.read_bytes()))
+        assert 0 < len(parts) <= rans.SEGMENTS and f.read_bytes()[:8] == rans.MAGIC
+        found |= {(t, k): rans.decode_segment(data, table)[0] for t, k, data in parts}
+    assert len(files) >= 4 and [x for place in sorted(found) for x in found[place]] == list(range(200))
+    with pytest.raises(rans.RansError):
+        list(rans.segments_of(files[0].read_bytes()[:-1]))
+    with pytest.raises(rans.RansError):
+        list(rans.segments_of(b"x" + files[0].read_bytes()))

@@ -70,3 +70,57 @@ def test_a_bad_record_loses_no_other():
         rows = list(warc.derivatives(data))
         assert [r["record_type"] for r in rows] == ["metadata", "conversion", None, "metadata", "conversion"] and rows[2]["error"]
         assert [rows[0]["refers_to"], rows[3]["refers_to"]] == [ids[0], ids[2]] and rows[2]["refers_to"] in (None, ids[1])
+
+
+def response(headers, body=PAGE, more=()):
+    return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), *more], b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n\r\n" + body)
+
+
+def test_hostile_headers():
+    good = warc.response_record(1, "u", PAGE)
+    for name in (b"undefined", b"idna", b"punycode", b"hex", b"rot13", b"base64", b"utf-16-nope", b"mbcs", b"unicode_escape"):
+        rows = list(warc.derivatives(response(b"Content-Type: text/html; charset=" + name) + good))
+        assert [r["record_type"] for r in rows] == ["metadata", "conversion"] * 2 and "One < two" in rows[1]["block"], name
+    odd = response(b"Content-Type: text/html").replace(b"Content-Length: ", "Content-Length: \u0663".encode(), 1)
+    assert [r["record_type"] for r in warc.derivatives(odd + good)] == [None, "metadata", "conversion"]
+    for bad in (b"Content-Encoding: gzip", b"Content-Encoding: deflate"):
+        rows = list(warc.derivatives(response(bad, b"\x1f\x8b not so \x00") + good))
+        assert rows[-2]["record_type"] == "metadata" and (rows[0]["error"] or rows[0]["record_type"])
+
+
+def test_repeated_headers_stay():
+    meta, _ = warc.derivatives(response(b"Content-Type: text/html\r\nSet-Cookie: a=1\r\nVia: x\r\nset-cookie: b=2"))
+    assert [(h["name"], h["value"]) for h in meta["source_headers"]] == [("content-type", "text/html"), ("set-cookie", "a=1"), ("via", "x"), ("set-cookie", "b=2")]
+    assert meta["block"].count("source-header-set-cookie: ") == 2
+
+
+def test_linear_reading():
+    import time
+
+    began = time.time()
+    data = warc.response_record(1, "u", b"<p>x</p>") * 20_000
+    assert sum(r["record_type"] == "conversion" for r in warc.derivatives(data)) == 20_000
+    assert len(list(warc.derivatives(b"WARC/1.0\r\nX: y\r\n" * 50_000))) == 50_000 and time.time() - began < 60
+
+
+def test_against_another_reading(spark):
+    """Every derivative of hand-made pages, by plain means: its digests, links, lengths and identifiers."""
+    import base64
+    import hashlib
+
+    pages = [(i, f"http://h/{i}", f"<title>T{i}</title><p>para {i} &amp; more</p><p>second</p>" + f"<a href=/l{i}>x</a>" * (i % 3)) for i in range(40)]
+    got = warc.page_derivatives(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    html = {k: h.encode() for k, _, h in pages}
+    assert len(got) == 80 and len({r.record_id for r in got}) == 80
+    for r in got:
+        assert r.source_payload_digest == sha(html[r.page_id]) and r.block_digest == sha(r.block.encode()) and r.content_length == len(r.block.encode())
+        n = r.page_id
+        if r.record_type == "conversion":
+            assert r.block == f"para {n} & more\nsecond" + "\n" * (n % 3 > 0) + "x" * (n % 3)
+        else:
+            assert f"title: T{n}\r\n" in r.block and r.block.count(f"outlink: /l{n}\r\n") == n % 3 and f"payload-length: {len(html[n])}\r\n" in r.block
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, set()).add(r.refers_to)
+    assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == 40
