@@ -67,12 +67,20 @@ def in_blocks(keys: DataFrame) -> DataFrame:
     return within(keys, ["rule", "key"], ["rid"], config.BLOCK_MIN, config.BLOCK_MAX)
 
 
+def gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and m, the sorted rids of each: for groups that a cap has made small."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("rid")).alias("m"))
+
+
+#: All pairs (l, r), l < r, of the small sorted array m.
+BLOCK_PAIRS = "flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> struct(a AS l, b AS r))))"
+
+
 def candidate_pairs(keys: DataFrame) -> DataFrame:
     """l, r (l < r) and rules, the sorted rules under which they meet.  A block's records, 40 at most, are gathered where the cap has put them:
     one shuffle by key and one by pair, and no join."""
-    block = in_blocks(keys).groupBy("rule", "key").agg(F.array_sort(F.collect_list("rid")).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, config.BLOCK_MAX), lambda b: F.struct(a.alias("l"), b.alias("r")))))
-    return block.select("rule", F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    pairs = gathered(in_blocks(keys), ["rule", "key"]).select("rule", F.explode(F.expr(BLOCK_PAIRS)).alias("p"))
+    return pairs.groupBy("p.l", "p.r").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
 def rule_summary(keys: DataFrame, pairs: DataFrame) -> DataFrame:

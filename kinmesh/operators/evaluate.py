@@ -24,6 +24,28 @@ def guard(df: DataFrame, *barred: str) -> DataFrame:
     return df
 
 
+class PartitionError(ValueError):
+    pass
+
+
+def guard_partition(df: DataFrame, *allowed: str) -> DataFrame:
+    """df, unless a row is of another partition."""
+    if bad := df.where(~F.coalesce(F.col("partition").isin(*allowed), F.lit(False))).select("partition").limit(1).collect():
+        raise PartitionError(f"a row of {bad[0].partition} where only {allowed} may be")
+    return df
+
+
+#: Which partitions' labels a scope may see; each sees what the one before it does.
+SCOPES = {"development": ("development",), "validation": ("development", "validation"), "final": ("development", "validation", "test")}
+
+
+def released_labels(parted: DataFrame, scope: str) -> DataFrame:
+    """The labels that a scope may see, without persons."""
+    if scope not in SCOPES:
+        raise PartitionError(f"unknown scope {scope}")
+    return parted.where(F.col("partition").isin(*SCOPES[scope])).drop("p_l", "p_r", "s_l", "s_r")
+
+
 def label_pairs(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """scored with both persons and whether they are the same."""
     side = lambda k: truth.select(F.col("rid").alias(k), F.col("person_id").alias(f"p_{k}"), F.col("source").alias(f"s_{k}"))
@@ -137,6 +159,12 @@ def cluster_metrics(assigned: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumns({"precision": F.round(F.try_divide(F.col("both") * 1.0, F.col("merged_pairs")), 6), "recall": F.round(F.try_divide(F.col("both") * 1.0, F.col("true_pairs")), 6)})
 
 
+def human_clusters(assigned: DataFrame, truth: DataFrame, machines: DataFrame) -> DataFrame:
+    """cluster_metrics without the records (rid) of machines."""
+    people = truth.join(machines.select("rid"), "rid", "left_anti")
+    return cluster_metrics(assigned.join(people.select("rid"), "rid", "left_semi"), people)
+
+
 def cluster_purity(assigned: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: accepted clusters of several records, those with one person, and the most persons in one."""
     by = assigned.where("cluster_status = 'accepted_merged'").join(truth.select("rid", "person_id"), "rid").groupBy("component").agg(F.count_distinct("person_id").alias("people"))
@@ -191,7 +219,9 @@ def promotion_checks(old: dict, new: dict) -> list[tuple[str, bool]]:
     ]
 
 
-def select_model(candidates: list[dict]) -> dict | None:
-    """Of the models without a false auto-merge: the best by auto recall, assisted recall, fewest reviews, strongest penalty."""
-    fit = [c for c in candidates if c["false_merges"] == 0]
+def select_model(candidates: list[dict], baseline: dict | None = None) -> dict | None:
+    """Of the models without a false auto-merge (and, given a baseline, better than it in both recalls): the best by auto recall, assisted
+    recall, fewest reviews, strongest penalty."""
+    better = lambda c: baseline is None or all(c[k] > baseline[k] for k in ("auto_recall", "assisted_recall"))
+    fit = [c for c in candidates if c["false_merges"] == 0 and better(c)]
     return max(fit, key=lambda c: (c["auto_recall"], c["assisted_recall"], -c["review"], c.get("l2", 0.0)), default=None)

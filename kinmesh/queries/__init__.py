@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from kinmesh.queries import audits, evaluation, identity
+from kinmesh.queries import audits, evaluation, identity, truths
 
 
 def registered() -> tuple[dict, dict]:
     queries, oracles = {}, {}
-    for module in (identity, evaluation, audits):
+    for module in (identity, evaluation, truths, audits):
         queries |= module.QUERIES
         oracles |= module.ORACLES
     return queries, oracles

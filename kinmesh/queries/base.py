@@ -7,7 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh import config
 from kinmesh.operators import blocking, cluster, observe, scoring
+from kinmesh.sources import five
 from kinmesh.sources import identity_view as view
 from kinmesh.storage import keep, table
 
@@ -15,6 +17,8 @@ from kinmesh.storage import keep, table
 class Steps:
     """The identity pipeline over the star-schema tables.  A step that several later ones read is written once to the shared folder."""
 
+    verified = "email_role = 'verified_identifier'"
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -39,12 +43,12 @@ class Steps:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return observe.observations(self.identity.drop("person_id"), self._fields, "email_role = 'verified_identifier'")
+        return observe.observations(self.identity.drop("person_id"), self._fields, self.verified)
 
     @cached_property
     def seen(self) -> DataFrame:
         """Every record's distinct valid values, and whether they are verified."""
-        return keep(observe.record_values(self.identity.drop("person_id"), self._fields, "email_role = 'verified_identifier'"), "values")
+        return keep(observe.record_values(self.identity.drop("person_id"), self._fields, self.verified), "values")
 
     @cached_property
     def values(self) -> DataFrame:
@@ -79,6 +83,20 @@ class Steps:
         return keep(cluster.assign(self.ids, self.scored), "assigned")
 
 
+class SourceSteps(Steps):
+    """The same pipeline over a folder of the five declared sources, which carry no truth."""
+
+    verified = five.VERIFIED
+
+    @cached_property
+    def identity(self) -> DataFrame:
+        return five.records(self.spark, self.sf_dir)
+
+    @cached_property
+    def _fields(self) -> dict[str, dict[str, str]]:
+        return five.FIELDS
+
+
 # ---------------------------------------------------------------- SQL
 
 MISSING = """({x} IS NULL OR lower(trim({x})) IN ('', '""', '''''', 'null', 'none'))"""
@@ -204,11 +222,19 @@ CTES = {
     "reach": "SELECT a, b FROM merges UNION SELECT reach.a, merges.b FROM reach JOIN merges ON reach.b = merges.a",
     "comp": "SELECT i.rid, i.source, i.record_ordinal, i.source_record_id, i.person_id, least(i.rid, coalesce(c.b, i.rid)) AS component FROM identity i LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) c ON i.rid = c.a",
     "assigned": "SELECT *, CAST(n AS INTEGER) AS component_size, CASE WHEN n = 1 THEN 'accepted_singleton' WHEN n <= 12 THEN 'accepted_merged' ELSE 'quarantined_oversized' END AS cluster_status FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM comp)",
+    "labelled": "SELECT s.*, a.person_id AS p_l, b.person_id AS p_r, a.person_id = b.person_id AS is_match, least(a.source, b.source) || '+' || greatest(a.source, b.source) AS source_pair FROM scored s JOIN identity a ON s.l = a.rid JOIN identity b ON s.r = b.rid",
+    "plinks": "SELECT p_l AS a, p_r AS b FROM labelled WHERE p_l <> p_r UNION SELECT p_r, p_l FROM labelled WHERE p_l <> p_r",
+    "preach": "SELECT a, b FROM plinks UNION SELECT preach.a, plinks.b FROM preach JOIN plinks ON preach.b = plinks.a",
+    "pcomp": "SELECT p.person_id, least(p.person_id, coalesce(min(r.b), p.person_id)) AS component FROM (SELECT DISTINCT person_id FROM identity) p LEFT JOIN preach r ON p.person_id = r.a GROUP BY p.person_id",
+    "parts": f"""SELECT person_id, component, CASE WHEN bucket < 50 THEN 'development' WHEN bucket < 70 THEN 'validation' ELSE 'test' END AS partition FROM pcomp JOIN
+ (SELECT component, CAST('0x' || substr(sha256(unhex(hex(encode('{config.PARTITION_SALT}')) || string_agg(printf('%08X', octet_length(encode(person_id))) || hex(encode(person_id)), '' ORDER BY person_id))), 1, 12) AS BIGINT) % 100 AS bucket FROM pcomp GROUP BY component) USING (component)""",
+    "parted": "SELECT l.*, partition FROM labelled l JOIN parts ON p_l = person_id",
 }
 #: Which steps each one reads.
 NEEDS = {
     "identity": (), "obs": ("identity",), "vals": ("obs",), "freq": ("vals",), "high": ("freq",), "derived": ("vals", "freq"), "keys": ("derived",), "blk": ("keys",), "kept": ("blk",), "pairs": ("kept",),
     "own": ("high",), "recs": ("own",), "evid": ("pairs", "recs"), "fams": ("evid",), "raws": ("fams",), "scored": ("raws",), "merges": ("scored",), "reach": ("merges",), "comp": ("reach",), "assigned": ("comp",),
+    "labelled": ("scored",), "plinks": ("labelled",), "preach": ("plinks",), "pcomp": ("preach",), "parts": ("pcomp",), "parted": ("parts",),
 }
 
 

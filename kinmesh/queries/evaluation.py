@@ -135,19 +135,6 @@ def pipeline_loss(s):
     return evaluate.pipeline_loss(evaluate.link_outcomes(of, s.scored), evaluate.same_component(of, s.assigned))
 
 
-@query()
-def person_partitions(s):
-    """People and the partition of their component: checked against a brute force in the tests."""
-    return evaluate.person_partitions(_labelled(s), s.truth)
-
-
-@query()
-def recall_gaps(s):
-    """By partition and source pair, and over all partitions."""
-    labelled = keep(_labelled(s), "labelled")
-    return evaluate.recall_gaps(evaluate.with_partition(labelled, evaluate.person_partitions(labelled, s.truth)))
-
-
 _FS = f"""(SELECT event, round((km + 0.5::DOUBLE) / (nm + 1.0::DOUBLE), 12) AS m, round((ku + 0.5::DOUBLE) / (nu + 1.0::DOUBLE), 12) AS u, round(log2(((km + 0.5::DOUBLE) / (nm + 1.0::DOUBLE)) / ((ku + 0.5::DOUBLE) / (nu + 1.0::DOUBLE))), 6) AS weight FROM
  (SELECT event, count_if(is_match) AS km, count_if(NOT is_match) AS ku FROM (SELECT is_match, unnest(list_transform(evidence, lambda x: 'evidence:' || x) || list_transform(conflicts, lambda x: 'conflict:' || x)) AS event FROM ({LABELLED})) GROUP BY ALL), (SELECT count_if(is_match) AS nm, count_if(NOT is_match) AS nu FROM ({LABELLED}))
  UNION ALL SELECT 'prior', NULL, NULL, round(log2((count_if(is_match) + 0.5::DOUBLE) / (count_if(NOT is_match) + 0.5::DOUBLE)), 6) FROM ({LABELLED}))"""
