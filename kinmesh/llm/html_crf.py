@@ -8,8 +8,9 @@ Viterbi.  The content blocks' texts, references decoded, white space made single
 joined in page order by a line break.  No block is dropped for its size and none is cut.
 
 The labelled pages are written by ``labelled_pages``, a bounded set (PAGES) of layouts with known content:
-semantic and class-named ones, lists, tables, quotes, unclosed tags, notices and comments inside articles.
+semantic and class-named ones, some with names that say nothing or laid out by tables, lists, tables, quotes, unclosed tags, notices and comments inside articles.
 
+Very long and very deep pages are read whole; a block's features are of its DEEP nearest open elements.
 Null or empty html: empty text.  A page without content blocks: empty text.  Repeated rows, null ids and extra
 columns don't matter: each row stands for itself.  Empty table: empty result.
 """
@@ -21,6 +22,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGES, EPOCHS, RATE, PENALTY = 1000, 8, 0.1, 1e-3
+#: Shares of labelled pages whose names say nothing, and that are laid out by tables.
+HASHED, TABLED = 0.15, 0.06
 OTHER, CONTENT = 0, 1
+#: Open elements that a block's features look at: the nearest ones.
+DEEP = 200
 
 # Tags by their role in HTML.
 BLOCKS = frozenset(
@@ -56,7 +62,9 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", r
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Words of notices, forms and page furniture.
-TELLING = re.compile(r"\b(cookies?|consent|privacy|subscribe|newsletter|sign (?:in|up)|log ?in|register|advertisement|sponsored|all rights reserved|share (?:this|on)|related|read more|comments?|repl(?:y|ies)|search|menu|home|contact)\b|©|»", re.I)
+TELLING = re.compile(r"\b(cookies?|consent|privacy|subscribe|newsletter|sign (?:in|up)|log ?in|register|advertisement|sponsored|all rights reserved|share (?:this|on)|related|read more|comments?|repl(?:y|ies)|search|menu|home|contact|copyright|imprint|impressum)\b|©|»", re.I)
+
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 
 class Block:
@@ -70,6 +78,7 @@ def leaf_blocks(page: str) -> list[Block]:
     """The page's non-empty leaf blocks in order.  path: (tag, words of class, id and role) of the open elements, outermost first."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()  # how often each tag is open
     parts: list[str] = []
     links = open_links = 0
 
@@ -77,7 +86,7 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(Block(text, tuple(stack), links, max(1, sum(map(len, parts)))))
+            out.append(Block(text, tuple(stack[-DEEP:]), links, max(1, sum(map(len, parts)))))
         parts.clear()
         links = 0
 
@@ -86,9 +95,13 @@ def leaf_blocks(page: str) -> list[Block]:
         if any(t in BLOCKS for t, _ in stack[depth:]):
             flush()
         open_links = max(0, open_links - sum(t == "a" for t, _ in stack[depth:]))
+        for t, _ in stack[depth:]:
+            opened[t] -= 1
         del stack[depth:]
 
     def nearest(names, bounds=()) -> int | None:
+        if not any(opened[x] for x in names):
+            return None
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 return i
@@ -152,6 +165,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "a":
             open_links += 1
         stack.append((tag, words))
+        opened[tag] += 1
     flush()
     return out
 
@@ -191,6 +205,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f"told:{min(told, 2)}",
             f"place:{min(4, 5 * i // n)}",
         ]
+        if RIGHTS.match(b.text):
+            own.append("rights")
         out.append(own + list(_path_features(b.path)))
     return out
 
@@ -289,9 +305,14 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> Iterator[tuple[str, list[st
     sentence = lambda lo=4, hi=22: " ".join(word() for _ in range(rng.randint(lo, hi))).capitalize() + rng.choice("....!?")
     telling = ["Subscribe to our newsletter", "We use cookies", "All rights reserved", "Sign in", "Read more", "Share this", "Advertisement", "Related posts", "Privacy policy", "Log in", "Search"]
 
+    hashed = False  # whether this page's names say nothing, as those that style sheets in scripts make up
+    token = lambda: rng.choice(("css-", "sc-", "_", "x", "")) + "".join(rng.choice("abcdefghjkmnpqrtvwxyzABCDEFGHJK0123456789") for _ in range(rng.randint(5, 8)))
+
     def attribute(kind: str, chance: float) -> str:
         if rng.random() > chance:
             return ""
+        if hashed:
+            return f' class="{token()}{rng.choice(("", " " + token()))}"' if rng.random() < 0.8 else ""
         name = rng.choice(FURNITURE[kind].split() if kind else BODY.split())
         name = rng.choice((name, name, f"{name}-{word()}", f"{word()}_{name}", f"{name}{rng.randint(1, 9)}"))
         return f" {rng.choice(('class', 'class', 'id'))}={rng.choice(('%s', '%s', chr(39) + '%s' + chr(39)))}".replace("%s", name if rng.random() < 0.3 else f'"{name}"').replace("''", "'").replace("'\"", '"').replace("\"'", '"')
@@ -343,16 +364,17 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> Iterator[tuple[str, list[st
             if kind < 0.26:
                 return f"<figure><img src=x.png><figcaption>{told(sentence(3, 10))}</figcaption></figure>"
             if kind < 0.30:
-                return f"<p>{told(rng.choice(telling) + rng.choice(('.', ' ' + sentence(1, 6), '')))}</p>"
+                return f"<p{styled}>{told(rng.choice(telling) + rng.choice(('.', ' ' + sentence(1, 6), '')))}</p>"
             if kind < 0.38:
-                return f"<p><b>{told(text)}<br>" if loose else f"<p><b>{told(text)}</b></p>"
+                return f"<p{styled}><b>{told(text)}<br>" if loose else f"<p{styled}><b>{told(text)}</b></p>"
             if kind < 0.46:
                 a, b = sentence(3, 8), word()
                 content.append(f"{a} {b} {text}")
-                return f'<p>{a} <a href="/{word()}">{b}</a> {text}</p>'
-            return f"<p>{told(text)}" + ("" if loose and rng.random() < 0.3 else "</p>")
+                return f'<p{styled}>{a} <a href="/{word()}">{b}</a> {text}</p>'
+            return f"<p{styled}>{told(text)}" + ("" if loose and rng.random() < 0.3 else "</p>")
 
-        loose = rng.random() < 0.35
+        loose, hashed = rng.random() < 0.35, rng.random() < HASHED
+        styled = f' class="{token()}"' if hashed and rng.random() < 0.6 else ""  # the paragraphs of such a page may all have one name
         tag, attr = rng.choice((("article", ""), ("article", attribute("", 0.5)), ("main", attribute("", 0.4)), ("div", attribute("", 1.0)), ("div", attribute("", 1.0)), ("section", attribute("", 0.8))))
         title = sentence(3, 9)[:-1]
         body = [rng.choice(("<h1>%s</h1>", "<h1>%s</h1>", "<header><h1>%s</h1></header>")) % told(title)] if rng.random() < 0.85 else []
@@ -367,6 +389,14 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> Iterator[tuple[str, list[st
         main = f"<{tag}{attr}>" + "\n".join(body) + inside + f"</{tag}>"
         if rng.random() < 0.3:
             main = f"<div{attribute('', 0.6)}>{main}</div>"
+        if rng.random() < TABLED:  # laid out by a table: menu and text side by side, the footer a row
+            link = lambda: f'<a href="/{word()}">{word()}{rng.choice(("", " " + word()))}</a>'
+            links = "<br>".join(link() for _ in range(rng.randint(3, 8)))
+            side = rng.choice((links, "".join(f"<p>{link()}</p>" for _ in range(4)), f"<table>{''.join(f'<tr><td>{link()}</td></tr>' for _ in range(4))}</table>"))
+            width = rng.choice(("", " width=150", ' valign="top"'))
+            cell = main if rng.random() < 0.4 else "\n".join(body)
+            last = f"<tr><td colspan=2>{rng.choice(('&copy;', 'Copyright', 'Copyright &copy;'))} {rng.randint(1990, 2026)} {word()}{rng.choice(('', ' ' + word(), '. All rights reserved.'))}</td></tr>"
+            main = f"<table{width}><tr><td{width}>{side}</td><td>{cell}</td></tr>{rng.choice((last, last, ''))}</table>"
         ahead = [furniture(k) for k, p in (("notice", 0.25), ("header", 0.5), ("menu", 0.8), ("form", 0.2), ("advert", 0.5), ("sidebar", 0.2)) if rng.random() < p]
         after = [furniture(k) for k, p in (("comments", 0.3), ("sidebar", 0.4), ("form", 0.25), ("advert", 0.2), ("menu", 0.2), ("footer", 0.85), ("notice", 0.1)) if rng.random() < p]
         if rng.random() < 0.15:  # a page may be its article alone

@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line with a word.  Sparse features (which word unigrams and bigrams of the known vocabulary
+A paragraph is a line with a word, or several that were wrapped: a line of WRAPPED characters that doesn't end a sentence goes on in
+the next line with a word right below it.  Sparse features (which word unigrams and bigrams of the known vocabulary
 occur) go into a multinomial logistic regression over the licence families and the class unknown.  It is
 trained on variations of the templates (words dropped, noise around, pieces) and on paragraphs that carry no
 licence: ordinary sentences, sentences that only use licence words, and a bounded sample of the corpus's own
@@ -11,7 +12,8 @@ enough of the paragraph's known n-grams, or the paragraph enough of the template
 The corpus sample: SAMPLE documents at most, by a hash of their ids, LINES lines in all; only lines without
 an unmistakable licence word are taken.  Every paragraph of every document is classified, whole.
 
-Null text: no paragraph.  Null ids, repeated rows and extra columns don't matter.  Empty table: empty result.
+Null text: no paragraph.  Very long texts are scanned whole, a paragraph at a time.  Null ids, repeated rows and extra columns don't
+matter: each row stands for itself.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ FALSE_SHARE = 0.001
 #: Share of the template's n-grams in the paragraph, or of the paragraph's words under the template, that confirm.
 CONFIRM = 0.6
 UNKNOWN = "unknown"
+#: Characters of a line that may have been wrapped, at least and at most; what ends a sentence or a heading.
+WRAPPED, ENDS = (40, 120), re.compile(r"[.!?:;\"')\]]\s*$")
 WORDS = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Lines of the corpus sample with these words are left out of the unknown class.
 TELLING = re.compile(r"licen[sc]e|copyright|\bgpl\b|\bwarranty\b|all rights|redistribut|creative commons|\bcc[ -](?:by|0)|public domain", re.I)
@@ -42,6 +46,7 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
@@ -56,6 +61,8 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "This software is released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -115,6 +122,43 @@ TEMPLATES = {
         "Licensed under CC BY-NC-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs License, for non-commercial use only.",
     ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Released under the zlib license.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "Licensed under the Boost Software License.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "CDDL": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License.",
+        "Licensed under the Common Development and Distribution License, version 1.0.",
+        "SPDX-License-Identifier: CDDL-1.0",
+    ],
+    "OFL": [
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "SPDX-License-Identifier: OFL-1.1",
+    ],
+    "Artistic": [
+        "This library is free software; you may redistribute it and/or modify it under the same terms as Perl itself, under the Artistic License.",
+        "Licensed under the Artistic License 2.0.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
+    "WTFPL": [
+        "Do What The Fuck You Want To Public License, Version 2.",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "SPDX-License-Identifier: WTFPL",
+    ],
     "Proprietary": [
         "All rights reserved.",
         "Copyright 2020 the authors. All rights reserved.",
@@ -263,21 +307,43 @@ def unknown_sample(docs: DataFrame) -> list[str]:
     return [r.line for r in rows if not TELLING.search(r.line)]
 
 
-def scan_text(text: str, model: Model) -> list[tuple[int, str, float, float]]:
-    """(line number, family, probability, agreement) of each paragraph of a known family."""
+def paragraphs(text: str) -> list[tuple[int, list[str]]]:
+    """(number of the first line, lines) of each paragraph."""
+    out: list[tuple[int, list[str]]] = []
+    goes_on = False
+    for n, line in enumerate(text.split("\n")):
+        if not line.split():
+            goes_on = False
+            continue
+        if goes_on:
+            out[-1][1].append(line)
+        else:
+            out.append((n, [line]))
+        goes_on = WRAPPED[0] <= len(line.strip()) <= WRAPPED[1] and not ENDS.search(line)
+    return out
+
+
+def scan_text(text: str, model: Model) -> tuple[int, list[tuple[int, int, str, float, float]]]:
+    """The number of paragraphs, and (first line, last line, family, probability, agreement) of each one of a known family.  A wrapped paragraph that is
+    of none as a whole may hold notices in its lines: those are judged one by one."""
+    every = paragraphs(text)
     if model.settled and model.cues.isdisjoint(words_of(text)):
-        return []
+        return len(every), []
     out = []
-    for n, line in enumerate(text.split("\n")):
-        family, p, agreement = model.classify(words_of(line))
+    for first, lines in every:
+        words = [words_of(x) for x in lines]
+        family, p, agreement = model.classify([w for x in words for w in x])
         if family != UNKNOWN:
-            out.append((n, family, p, agreement))
-    return out
+            out.append((first, first + len(lines) - 1, family, p, agreement))
+        elif len(lines) > 1:
+            judged = [(n, n, *model.classify(x)) for n, x in enumerate(words, first)]
+            out += [h for h in judged if h[2] != UNKNOWN]
+    return len(every), out
 
 
 def scan_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_paragraphs, n_licences, families (distinct, sorted, comma-joined; empty if none) and
-    hits (line:family:probability:agreement, comma-joined in order)."""
+    hits (first line-last line:family:probability:agreement, comma-joined in order)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model or train(unknown_sample(docs)))
 
     def run(batches):
@@ -286,8 +352,8 @@ def scan_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
             rows = []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                hits = scan_text(text, own)
-                rows.append((sum(1 for x in text.split("\n") if x.split()), len(hits), ",".join(sorted({h[1] for h in hits})), ",".join(f"{n}:{f}:{p:.3f}:{a:.3f}" for n, f, p, a in hits)))
+                n, hits = scan_text(text, own)
+                rows.append((n, len(hits), ",".join(sorted({h[2] for h in hits})), ",".join(f"{a}-{b}:{f}:{p:.3f}:{s:.3f}" for a, b, f, p, s in hits)))
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], names=["doc_id", "n_paragraphs", "n_licences", "families", "hits"])
 

@@ -81,3 +81,26 @@ def test_query(spark, sf_dir, model):
     assert H.extract_text(df.where("false")).collect() == []
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert H.extract_text(pages).where("n_chars = 0").count() == 0
+
+
+def test_foreign_layouts(model):
+    """Layouts by hand, not by the generator: names that say nothing, a table, another language."""
+    hashed = (
+        '<html><body><div class="css-1q2w3e"><a href="/">Start</a><a href="/b">Blog</a><a href="/c">Shop</a></div><div class="sc-gsnTZi kkQzRt"><h1>How the mill was built</h1>'
+        "<p class='css-9x8y7z'>The first stone of the mill was laid in spring, and the work went on for eleven years without a break.</p><p class='css-9x8y7z'>In the end it stood higher than the church, which the vicar didn't like at all.</p></div>"
+        '<div class="css-0a9s8d"><a href="/x">Impressum</a> <a href="/y">Privacy</a></div></body></html>'
+    )
+    assert H.main_text(hashed, model)[0] == "How the mill was built\nThe first stone of the mill was laid in spring, and the work went on for eleven years without a break.\nIn the end it stood higher than the church, which the vicar didn't like at all."
+    table = (
+        "<html><body><table width=600><tr><td width=120><a href=a.html>Home</a><br><a href=b.html>News</a><br><a href=c.html>Maps</a></td><td><h1>The town of Orr</h1><p>Orr lies on the river and has had a market since the year 1204, when the duke gave it leave.</p>"
+        "<p>Its bridge was built twice; the first one went with the flood of 1611, as the old books tell.</p></td></tr><tr><td colspan=2>Copyright 2001 Town</td></tr></table></body></html>"
+    )
+    assert H.main_text(table, model)[0] == "The town of Orr\nOrr lies on the river and has had a market since the year 1204, when the duke gave it leave.\nIts bridge was built twice; the first one went with the flood of 1611, as the old books tell."
+
+
+def test_deep_pages_in_linear_time():
+    import time
+
+    began = time.time()
+    page = "".join(f"<div><b>{i} " for i in range(20_000)) + "</b></div>" * 20_000 + "</i>" * 20_000
+    assert len(H.leaf_blocks(page)) == 20_000 and time.time() - began < 20
