@@ -138,6 +138,10 @@ def check() -> None:
             raise ConfigError(f"{source} maps to unknown concepts {bad}")
     if not 0 < HUMAN_REVIEW < AUTO_MERGE <= 1 or list(SCORE_BINS) != sorted(set(SCORE_BINS)):
         raise ConfigError("thresholds or bins out of order")
+    if list(LOGISTIC_BASE) != sorted(set(LOGISTIC_BASE)) or any(e.split(":")[0] not in ("evidence", "conflict") for e in LOGISTIC_BASE):
+        raise ConfigError("base events must be sorted, unique and of a kind")
+    if list(L2_STRENGTHS) != sorted(set(L2_STRENGTHS)) or min(L2_STRENGTHS) <= 0 or not 0 < ADAM["beta1"] < ADAM["beta2"] < 1 or min(ADAM.values()) <= 0:
+        raise ConfigError("penalties or steps of the logistic fit are out of order")
     if sorted(p for r in PARTITIONS.values() for p in range(*r)) != list(range(100)):
         raise ConfigError("partitions don't share out the buckets")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmesh import config
-from kinmesh.sources.xlsx import register as register_xlsx
+from kinmesh.sources.xlsx import read_workbooks
 from kinmesh.storage import keep
 
 
@@ -78,8 +78,7 @@ def read_nested_json(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 def read_excel(spark: SparkSession, path: str, source: str) -> DataFrame:
     m = config.SOURCES[source]
-    register_xlsx(spark)
-    df = spark.read.format("xlsx").option("path", path).option("sheet", m["sheet"]).option("marker", m["marker"]).option("columns", ",".join(columns_of(source))).load()
+    df = read_workbooks(spark, path, m["sheet"], m["marker"], columns_of(source))
     return _with_record(check_columns(df, source), source)
 
 

@@ -8,6 +8,7 @@ from kinmesh import config
 from kinmesh.operators import cluster, observe, profile
 from kinmesh.queries.base import SourceSteps
 from kinmesh.sources import readers
+from kinmesh.storage import keep
 
 HOT, PHONE = "hot@example.test", "+999123456789"
 
@@ -31,6 +32,7 @@ def folder(tmp_path_factory):
 
 def test_end_to_end(spark, folder):
     s = SourceSteps(spark, folder)
+    s.obs = keep(s.obs, "obs")
     obs = s.obs.collect()
     assert len(obs) == 494 and len({o.rid for o in obs}) == 44
     count = {k: sum(o.source == k for o in obs) for k in config.SOURCES}
