@@ -3,6 +3,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, differences
 from kinmesh.queries import registered
+from kinmesh.queries.truths import SMALL
 
 QUERIES, ORACLES = registered()
 #: One of each family; the whole list is compared by the driver.
@@ -19,6 +20,11 @@ def test_same_as_sql(spark, sf_dir, con, name):
     assert differences(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["person_partitions", "recall_gaps", "fs_weights_development"])
+def test_partitions_same_as_small_sql(spark, sf_dir, con, name):
+    assert differences(QUERIES[name](spark, sf_dir), con, SMALL[name]) == ""
+
+
 def test_registered():
     assert set(ORACLES) <= set(QUERIES) and set(QUERIES) <= set(entry.queries()) and len(QUERIES) > 80
 
