@@ -224,7 +224,8 @@ CTES = {
     "assigned": "SELECT *, CAST(n AS INTEGER) AS component_size, CASE WHEN n = 1 THEN 'accepted_singleton' WHEN n <= 12 THEN 'accepted_merged' ELSE 'quarantined_oversized' END AS cluster_status FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM comp)",
     "labelled": "SELECT s.*, a.person_id AS p_l, b.person_id AS p_r, a.person_id = b.person_id AS is_match, least(a.source, b.source) || '+' || greatest(a.source, b.source) AS source_pair FROM scored s JOIN identity a ON s.l = a.rid JOIN identity b ON s.r = b.rid",
     "plinks": "SELECT p_l AS a, p_r AS b FROM labelled WHERE p_l <> p_r UNION SELECT p_r, p_l FROM labelled WHERE p_l <> p_r",
-    "pcomp": "SELECT DISTINCT person_id, person_id AS component FROM identity UNION (SELECT DISTINCT ON (u.person_id) u.person_id, v.component FROM recurring.pcomp u JOIN plinks e ON u.person_id = e.a JOIN pcomp v ON e.b = v.person_id WHERE v.component < u.component ORDER BY u.person_id, v.component)",
+    "preach": "SELECT a, b FROM plinks UNION SELECT preach.a, plinks.b FROM preach JOIN plinks ON preach.b = plinks.a",
+    "pcomp": "SELECT p.person_id, least(p.person_id, coalesce(min(r.b), p.person_id)) AS component FROM (SELECT DISTINCT person_id FROM identity) p LEFT JOIN preach r ON p.person_id = r.a GROUP BY p.person_id",
     "parts": f"""SELECT person_id, component, CASE WHEN bucket < 50 THEN 'development' WHEN bucket < 70 THEN 'validation' ELSE 'test' END AS partition FROM pcomp JOIN
  (SELECT component, CAST('0x' || substr(sha256(unhex(hex(encode('{config.PARTITION_SALT}')) || string_agg(printf('%08X', octet_length(encode(person_id))) || hex(encode(person_id)), '' ORDER BY person_id))), 1, 12) AS BIGINT) % 100 AS bucket FROM pcomp GROUP BY component) USING (component)""",
     "parted": "SELECT l.*, partition FROM labelled l JOIN parts ON p_l = person_id",
@@ -233,13 +234,11 @@ CTES = {
 NEEDS = {
     "identity": (), "obs": ("identity",), "vals": ("obs",), "freq": ("vals",), "high": ("freq",), "derived": ("vals", "freq"), "keys": ("derived",), "blk": ("keys",), "kept": ("blk",), "pairs": ("kept",),
     "own": ("high",), "recs": ("own",), "evid": ("pairs", "recs"), "fams": ("evid",), "raws": ("fams",), "scored": ("raws",), "merges": ("scored",), "reach": ("merges",), "comp": ("reach",), "assigned": ("comp",),
-    "labelled": ("scored",), "plinks": ("labelled",), "pcomp": ("plinks",), "parts": ("pcomp",), "parted": ("parts",),
+    "labelled": ("scored",), "plinks": ("labelled",), "preach": ("plinks",), "pcomp": ("preach",), "parts": ("pcomp",), "parted": ("parts",),
 }
 
 #: Steps that a recursion or several others read: evaluated once.
-ONCE = {"labelled", "plinks", "parts", "parted"}
-#: Steps that are recursions with a row a key: each round a person takes the smallest label of those it is linked to.
-KEYED = {"pcomp": "pcomp(person_id, component) USING KEY (person_id)"}
+ONCE = {"labelled", "plinks", "pcomp", "parts", "parted"}
 
 
 def with_steps(sql: str, *steps: str) -> str:
