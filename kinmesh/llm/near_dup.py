@@ -151,7 +151,9 @@ def _signed(mask: int) -> int:
 
 def links(nodes: DataFrame, number: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at THRESHOLD or fewer differing bits, each once:
-    at the home anchor of a, in the first projection with at most one difference (anchors reach some pairs with two, too)."""
+    at the home anchor of a, in the first projection with at most one difference (anchors reach some pairs with two, too).
+    The join is a shuffle by its hint: replicas come from Arrow functions, and Spark takes them for as small as the fingerprints, so it
+    would broadcast them through the driver."""
     number = cover(nodes.count()) if number is None else number
     home = _replicate(nodes, number, True).withColumnRenamed("fp", "a")
     near = _replicate(nodes, number, False).withColumnRenamed("fp", "b")
@@ -160,7 +162,7 @@ def links(nodes: DataFrame, number: int | None = None) -> DataFrame:
     here = F.shiftright("anchor", PLACE).cast("int")
     near_in = lambda m: F.bit_count(x.bitwiseAND(m)) <= 1
     first = near_in(F.get(masks, here)) & ~F.exists(F.slice(masks, F.lit(1), here), near_in)
-    return home.join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= THRESHOLD)).where(first).select("a", "b")
+    return home.join(near.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= THRESHOLD)).where(first).select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:

@@ -129,3 +129,10 @@ def test_each_link_comes_once(spark, number):
         want.add((min(a, b), max(a, b)))
     got = [tuple(r) for r in N.links(spark.createDataFrame([(x,) for x in fps], "fp long"), number).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_replicas_are_never_broadcast(spark):
+    """Spark takes what an Arrow function returns for as small as its input: 42 replicas a fingerprint would go through the driver."""
+    nodes = spark.range(2000).selectExpr("id * 7919 AS fp")
+    plan = N.links(nodes, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
