@@ -49,7 +49,7 @@ CHECK_STEPS = 128
 SEGMENT_TOKENS = 1 << 20
 SEGMENTS = 8
 #: Text that is encoded at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 class RansError(ValueError):
@@ -245,14 +245,20 @@ def token_chunks(docs: DataFrame, path: str, n_partitions: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 ids, n = encode(part.column(1))
-                held.append(np.insert(ids, np.cumsum(n), END_ID))
-                keys += part.column(0).to_pylist()
-                lengths += (n + 1).tolist()
-                size += len(held[-1])
-                if size >= SEGMENT_TOKENS:
-                    yield turn()
-                    keys, lengths, held, size = [], [], [], 0
-                    segment += 1
+                pa.default_memory_pool().release_unused()  # else each worker keeps the most that a slice took
+                ids, ends = np.insert(ids, np.cumsum(n), END_ID), np.cumsum(n + 1)
+                docs, begin, at = part.column(0).to_pylist(), 0, 0
+                while begin < len(docs):
+                    stop = min(int(np.searchsorted(ends, at + SEGMENT_TOKENS - size)) + 1, len(docs))
+                    held.append(ids[at : ends[stop - 1]])
+                    keys += docs[begin:stop]
+                    lengths += (n[begin:stop] + 1).tolist()
+                    size += len(held[-1])
+                    begin, at = stop, int(ends[stop - 1])
+                    if size >= SEGMENT_TOKENS:
+                        yield turn()
+                        keys, lengths, held, size = [], [], [], 0
+                        segment += 1
         if keys:
             yield turn()
 

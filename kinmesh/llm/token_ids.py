@@ -4,6 +4,7 @@ Byte-pair merges never cross a pre-token, and in both files a single space (or l
 characters always begins a pre-token or is dropped.  So a text is cut there, and each distinct word goes to
 the tokenizers library once while it is in the cache.  Texts with other white space, or runs of it, go to
 the library whole where the cut would not be safe.  Ids come as bytes, little-endian unsigned 32-bit.
+Batches keep their words in Arrow (Known), at some 40 bytes a word; a Python dictionary takes 240.
 """
 
 from __future__ import annotations
@@ -26,7 +27,12 @@ def tokenizer_path(name: str) -> str:
 #: Words of either generation of a cache; when the young one is full, it becomes the old one.
 CACHED = 1 << 19
 #: Letters or numbers, then stops: a pre-token ends between the two.
-STOPPED = re.compile(r"([^\W_]+)([.,!?;:]+)")
+STOPS = ".,!?;:"
+STOPPED = re.compile(rf"([^\W_]+)([{STOPS}]+)")
+#: Those that Arrow tells from their stops: of ASCII and the Latin letters up to U+017E, but U+0130, whose lower case has a mark after the i.
+PLAIN = "".join(c for c in map(chr, range(0x17F)) if c.isalpha() and c != "\u0130" or c.isascii() and c.isdigit())
+#: Bytes of words and ids that a batch leaves for the next one.
+KNOWN_BYTES = 16 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -76,6 +82,7 @@ class Encoder:
         self.merge, self.lower = self.tokenizer.model.tokenize, not spaces
         self.first = _Words(self.word, "", fold=not spaces)  # the file that drops white space also lower-cases
         self.rest = _Words(self.word, " ", False, self.first)
+        self.known = Known()
         self.encode = self._spaced if spaces else self._dropped
         self.line = self.whole("\n") if spaces else b""
 
@@ -108,27 +115,89 @@ class Encoder:
             return self.whole(text)
         return b"".join(map(self.first.__getitem__, text.split()))
 
+    def fresh(self, word: str) -> bytes:
+        """Ids of a word where white space is dropped, kept by nothing but the model."""
+        if word.isascii() and word.isalpha():  # its letters name themselves
+            return array("I", [t.id for t in self.merge(word.lower())]).tobytes()
+        m = STOPPED.fullmatch(word)
+        return self.word(m[1], "") + self.first[m[2]] if m and m[1].lower().isalnum() else self.word(word, "")
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array and the number of each text's, where white space is dropped.  Texts are cut at
-        single spaces and line breaks alone, which is safe everywhere, and words are told apart by Arrow: each distinct
-        word of the batch costs one look in the cache."""
+        single spaces and line breaks alone, which is safe everywhere, and words are told apart by Arrow, without the stops
+        after them: only those that aren't known from the batches before become Python's."""
         # replacing comes first: it makes an array of its own, and lower-casing a slice of another reads wrong offsets
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)  # unless that could spell a special token
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
-        ids = [self.first[w] for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+        words = coded.dictionary
+        tails = pc.utf8_ltrim(words, characters=PLAIN)
+        stopped = pc.equal(pc.ascii_rtrim(tails, characters=STOPS), "")
+        stems = pc.if_else(stopped, pc.ascii_rtrim(words, characters=STOPS), words).dictionary_encode()
+        tails = pc.if_else(stopped, tails, "").dictionary_encode()
+        at, pieces = self.known.look_up(stems.dictionary, self.fresh)
+        which = np.empty(2 * len(words), np.int64)
+        which[::2] = at[stems.indices.to_numpy(zero_copy_only=False)]
+        which[1::2] = len(pieces) + tails.indices.to_numpy(zero_copy_only=False)
+        pieces = pieces.and_more([self.first[w] for w in tails.dictionary.to_pylist()])
+        flat, ends = pieces.spread(which)
+        flat, ends = Pieces(flat, ends[::2]).spread(coded.indices.to_numpy(zero_copy_only=False))
         at = cut.offsets.to_numpy()
         return flat, ends[at[1:]] - ends[at[:-1]]
 
 
+class Pieces:
+    """Runs of ids in one array; run k is flat[ends[k] : ends[k + 1]]."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        self.flat, self.ends = flat, ends
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def and_more(self, ids: list[bytes]) -> Pieces:
+        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        return Pieces(np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")]), np.concatenate([self.ends, ends]))
+
+    def spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs named by which, one after the other, and their ends."""
+        starts = self.ends[which]
+        ends = np.concatenate([[0], np.cumsum(self.ends[which + 1] - starts)])
+        kind = np.int32 if max(len(self.flat), ends[-1]) < 1 << 31 else np.int64
+        place = np.repeat((starts - ends[:-1]).astype(kind), np.diff(ends))
+        place += np.arange(ends[-1], dtype=kind)
+        return self.flat[place], ends
+
+
+class Known:
+    """Distinct words and their ids, of KNOWN_BYTES at most between two batches."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.pieces = pa.array([], pa.large_string()), Pieces(np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.pieces.flat.nbytes + self.pieces.ends.nbytes
+
+    def look_up(self, words: pa.Array, encode) -> tuple[np.ndarray, Pieces]:
+        """Where each of the distinct words stands in the pieces.  When all are too many, the words of this batch stay; when these are, none."""
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(found))
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        self.words, self.pieces = pa.concat_arrays([self.words, new]), self.pieces.and_more([encode(w) for w in new.to_pylist()])
+        pieces = self.pieces
+        if self.nbytes() > KNOWN_BYTES:
+            self.words, self.pieces = words, Pieces(*pieces.spread(at))
+            if self.nbytes() > KNOWN_BYTES:
+                self.clear()
+        return at, pieces
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 

@@ -95,3 +95,13 @@ def test_files_hold_the_format(spark, monkeypatch):
         list(rans.segments_of(files[0].read_bytes()[:-1]))
     with pytest.raises(rans.RansError):
         list(rans.segments_of(b"x" + files[0].read_bytes()))
+
+
+def test_segments_end_inside_slices(spark, monkeypatch):
+    """A slice of many segments' text gives segments that no document overfills: none is longer for being encoded with others."""
+    monkeypatch.setattr(rans, "SEGMENT_TOKENS", 40)
+    df = spark.createDataFrame([(i, "some words and others " * (i % 9)) for i in range(300)], "doc_id long, text string").repartition(5)
+    got = rans.token_chunks(df, tokenizer_path(rans.TOKENIZER), 2).collect()
+    longest = max(max(r.lengths) for r in got)
+    assert all(sum(r.lengths) == r.n_tokens < 40 + longest and r.n_tokens - r.lengths[-1] < 40 for r in got)
+    assert [k for r in sorted(got) for k in r.doc_ids] == list(range(300))

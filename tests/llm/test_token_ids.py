@@ -54,3 +54,51 @@ def test_batch_of_hard_texts():
     e = _ENC.setdefault("word_bpe_49k.json", Encoder(tokenizer_path("word_bpe_49k.json"), False))
     for t in HARD + ["<|ENDOFTEXT|> A", "Á É ß"]:
         assert e.batch(pa.array(["pre", t]))[0].astype("<u4").tobytes() == e.whole("pre") + e.whole(t), t
+
+
+@pytest.mark.parametrize("known", [0, 150, 1500, 1 << 20])
+def test_batches_with_known_words(monkeypatch, known):
+    """Words of earlier batches, kept, dropped for those of the last one, or all dropped."""
+    import pyarrow as pa
+
+    from kinmesh.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "KNOWN_BYTES", known)
+    e = Encoder(tokenizer_path("word_bpe_49k.json"), False)
+    for texts in (["one two. Three", None, "four,, five"], ["two three? six one.", ""], ["..."], [], [None], ["seven eight nine ten two two. élan élan! Öl. слово. 12."], HARD, ["one", " one.", "x" * 3000], HARD[::-1]):
+        flat, sizes = e.batch(pa.array(texts, pa.string()))
+        want = [e.whole(t or "") for t in texts]
+        assert flat.astype("<u4").tobytes() == b"".join(want) and sizes.tolist() == [len(w) // 4 for w in want]
+        assert e.known.nbytes() <= max(known, 8)
+
+
+def test_every_plain_letter_ends_before_stops():
+    import pyarrow as pa
+
+    from kinmesh.llm.token_ids import PLAIN
+
+    e = _ENC.setdefault("word_bpe_49k.json", Encoder(tokenizer_path("word_bpe_49k.json"), False))
+    texts = [t for c in PLAIN + "\u0130\u00d7\u00f7" for t in (f"{c}.", f"a{c}!?", f"{c}{c}b;")] + ["<| " + PLAIN + "."]
+    for some in (texts, texts[:-1]):
+        assert e.batch(pa.array(some))[0].astype("<u4").tobytes() == b"".join(map(e.whole, some))
+
+
+def test_memory_of_distinct_words_is_bounded():
+    """300,000 distinct words leave less than the bound of known words and a little: a dictionary of them took 50 MB and more."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    e = Encoder(tokenizer_path("word_bpe_49k.json"), False)
+    e.batch(pa.array(["a word."]))
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for _ in range(10):
+            e.batch(pa.array([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(".,; ").strip() for _ in range(300)) for _ in range(100)]))
+        grown = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - held
+    finally:
+        tracemalloc.stop()
+    assert grown < 24e6
