@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmesh.llm.rans import slices
 from kinmesh.llm.shared import keep
 from kinmesh.llm.token_ids import encoder, tokenizer_path
 
@@ -296,15 +297,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     def run(batches):
         ranks: dict[int, int] = {}
         task = TaskContext.get().partitionId()
-        encode = encoder(path, True).encode
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((key, n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, ranks.get(length, 0)))
+        encode = encoder(path, True).batch
+        for part in (x for batch in batches for x in slices(batch)):
+            ids, n = encode(part.column(1))
+            pa.default_memory_pool().release_unused()  # else each worker keeps the most that a slice took
+            raw = memoryview(np.insert(ids, np.cumsum(n), END_ID).astype("<u4", copy=False)).cast("B")
+            rows, at = [], 0
+            for key, size in zip(part.column(0).to_pylist(), (n + 1).tolist()):
+                for k, (start, length) in enumerate(cut(size, capacity)):
+                    crc = zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)])
+                    rows.append((key, k, start, length, crc, task, ranks.get(length, 0)))
                     ranks[length] = rows[-1][-1] + 1
+                at += size
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])

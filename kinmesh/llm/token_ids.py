@@ -33,6 +33,10 @@ STOPPED = re.compile(rf"([^\W_]+)([{STOPS}]+)")
 PLAIN = "".join(c for c in map(chr, range(0x17F)) if c.isalpha() and c != "\u0130" or c.isascii() and c.isdigit())
 #: Bytes of words and ids that a batch leaves for the next one.
 KNOWN_BYTES = 16 << 20
+#: White space but spaces and line breaks.
+OTHER_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Texts, after a mark, that go to the library whole where white space has tokens.
+UNSAFE = rf"\A.[ \n]|[ \n]\z|[ \n][ \n]|(?s:.)[{OTHER_SPACES}]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -79,7 +83,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge, self.lower = self.tokenizer.model.tokenize, not spaces
+        self.merge, self.lower, self.spaces = self.tokenizer.model.tokenize, not spaces, spaces
         self.first = _Words(self.word, "", fold=not spaces)  # the file that drops white space also lower-cases
         self.rest = _Words(self.word, " ", False, self.first)
         self.known = Known()
@@ -116,26 +120,53 @@ class Encoder:
         return b"".join(map(self.first.__getitem__, text.split()))
 
     def fresh(self, word: str) -> bytes:
-        """Ids of a word where white space is dropped, kept by nothing but the model."""
+        """Ids of a word, kept by nothing but the model.  Where white space has tokens, the word follows a space, or begins with
+        a mark: \\r at the begin of a text, \\n for a line break before it."""
+        if self.spaces:
+            mark, bare = word[: word[:1] in ("\r", "\n")], word.lstrip("\r\n")
+            m, before = STOPPED.fullmatch(bare), "" if mark else " "
+            return (self.line if mark == "\n" else b"") + (self.word(m[1], before) + self.first[m[2]] if m else self.word(bare, before))
         if word.isascii() and word.isalpha():  # its letters name themselves
             return array("I", [t.id for t in self.merge(word.lower())]).tobytes()
         m = STOPPED.fullmatch(word)
         return self.word(m[1], "") + self.first[m[2]] if m and m[1].lower().isalnum() else self.word(word, "")
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array and the number of each text's, where white space is dropped.  Texts are cut at
-        single spaces and line breaks alone, which is safe everywhere, and words are told apart by Arrow, without the stops
-        after them: only those that aren't known from the batches before become Python's."""
+        """Ids of all texts in one array and the number of each text's.  Texts are cut at single spaces and line breaks alone,
+        which is safe everywhere where white space is dropped; where it has tokens, texts with other white space go whole."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.spaces:
+            return self._batch_spaced(texts)
         # replacing comes first: it makes an array of its own, and lower-casing a slice of another reads wrong offsets
-        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        texts = pc.replace_substring(texts, "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)  # unless that could spell a special token
-        cut = pc.split_pattern(texts, " ")
+        flat, ends = self._words_of(pc.split_pattern(texts, " "))
+        return flat, np.diff(ends)
+
+    def _batch_spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        mark, end = (pa.scalar(x, pa.large_string()) for x in ("\r", ""))
+        texts = pc.binary_join_element_wise(mark, texts, end)
+        hard = pc.match_substring_regex(texts, UNSAFE)
+        safe = pc.replace_substring(pc.if_else(hard, mark, texts), "\n", " \n")
+        pieces = Pieces(*self._words_of(pc.split_pattern(safe, " ")))
+        which, hard = np.arange(len(texts)), pc.indices_nonzero(hard).to_numpy()
+        if len(hard):
+            which[hard] = len(texts) + np.arange(len(hard))
+            pieces = Pieces(*pieces.and_more([self.whole(t[1:]) for t in texts.take(pa.array(hard)).to_pylist()]).spread(which))
+        return pieces.flat, np.diff(pieces.ends)
+
+    def _words_of(self, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all lists of words, and where each list's end.  Words are told apart by Arrow, without the stops after them:
+        only those that aren't known from the batches before become Python's."""
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary
-        tails = pc.utf8_ltrim(words, characters=PLAIN)
+        tails = pc.utf8_ltrim(words, characters="\r\n" * self.spaces + PLAIN)
+        stems = pc.ascii_rtrim(words, characters=STOPS)
         stopped = pc.equal(pc.ascii_rtrim(tails, characters=STOPS), "")
-        stems = pc.if_else(stopped, pc.ascii_rtrim(words, characters=STOPS), words).dictionary_encode()
+        if self.spaces:  # stops alone are one pre-token with the space before them
+            stopped = pc.and_(stopped, pc.not_equal(stems, ""))
+        stems = pc.if_else(stopped, stems, words).dictionary_encode()
         tails = pc.if_else(stopped, tails, "").dictionary_encode()
         at, pieces = self.known.look_up(stems.dictionary, self.fresh)
         which = np.empty(2 * len(words), np.int64)
@@ -144,8 +175,7 @@ class Encoder:
         pieces = pieces.and_more([self.first[w] for w in tails.dictionary.to_pylist()])
         flat, ends = pieces.spread(which)
         flat, ends = Pieces(flat, ends[::2]).spread(coded.indices.to_numpy(zero_copy_only=False))
-        at = cut.offsets.to_numpy()
-        return flat, ends[at[1:]] - ends[at[:-1]]
+        return flat, ends[cut.offsets.to_numpy()]
 
 
 class Pieces:

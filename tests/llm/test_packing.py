@@ -146,3 +146,27 @@ def test_lower_bound_by_definition(seed):
         small = sum(x * n for x, n in counts.items() if k <= x <= capacity // 2)
         best = max(best, sum(n for x, n in counts.items() if x > capacity - k) + sum(middle.values()) + max(0, -(-(small - room) // capacity)))
     assert packing.lower_bound(counts, capacity) == best
+
+
+def test_memory_of_distinct_words_is_bounded(spark, monkeypatch):
+    """A worker that has packed 150,000 distinct words keeps little of them for the stages after: dictionaries kept 100 MB."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    runs, rng = [], random.Random(3)
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: runs.append(run))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    packing.token_pieces(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path(packing.TOKENIZER))
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    text = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(".,; ").strip() for _ in range(300))
+    assert sum(b.num_rows for b in runs[0](iter([batch(["a word."])]))) == 1
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in runs[0](batch([text() for _ in range(100)]) for _ in range(5))) == 500
+        grown = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - held
+    finally:
+        tracemalloc.stop()
+    assert grown < 20e6, grown

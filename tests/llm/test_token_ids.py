@@ -102,3 +102,34 @@ def test_memory_of_distinct_words_is_bounded():
     finally:
         tracemalloc.stop()
     assert grown < 24e6
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.text(st.one_of(st.sampled_from("ab Zé.,'\n\t!ΣİßſǺ9<|endoftext|>"), st.characters(exclude_categories=["Cs"])), max_size=30)), max_size=6))
+def test_spaced_batch(texts):
+    import pyarrow as pa
+
+    e = _ENC.setdefault("byte_bpe_50k.json", Encoder(tokenizer_path("byte_bpe_50k.json"), True))
+    for some in (pa.array(texts, pa.string()), pa.array(["cut off", *texts, "too"], pa.string()).slice(1, len(texts))):
+        flat, sizes = e.batch(some)
+        want = [e.whole(t or "") for t in texts]
+        assert flat.astype("<u4").tobytes() == b"".join(want) and sizes.tolist() == [len(w) // 4 for w in want]
+
+
+@pytest.mark.parametrize("known", [0, 150, 1500, 1 << 20])
+def test_spaced_batches_with_known_words(monkeypatch, sf_dir, known):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from kinmesh.llm import token_ids
+    from kinmesh.llm.token_ids import PLAIN
+
+    monkeypatch.setattr(token_ids, "KNOWN_BYTES", known)
+    e = Encoder(tokenizer_path("byte_bpe_50k.json"), True)
+    docs = pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()[:60]
+    odd = ["one. two\n... three, ...\n. one.", "...", ". .", "\r", "\na", "a\n", "a\x85b", "a\u3000b", "a\n.b\nc.", "слово. 12.\nélan!", "x" * 3000, " ".join(f"{c}. a{c}!?\n{c}" for c in PLAIN + "\u0130")]
+    for texts in (docs, HARD, odd, [], [None], [None, "", "one"], HARD[::-1], odd[::-1], docs):
+        flat, sizes = e.batch(pa.array(texts, pa.string()))
+        want = [e.whole(t or "") for t in texts]
+        assert flat.astype("<u4").tobytes() == b"".join(want) and sizes.tolist() == [len(w) // 4 for w in want]
+        assert e.known.nbytes() <= max(known, 8)
