@@ -149,7 +149,7 @@ def test_lower_bound_by_definition(seed):
 
 
 def test_memory_of_distinct_words_is_bounded(spark, monkeypatch):
-    """A worker that has packed 150,000 distinct words keeps little of them for the stages after: dictionaries kept 100 MB."""
+    """A worker that has packed 150,000 distinct words keeps little of them for the stages after: dictionaries kept 36 MB."""
     import tracemalloc
     from types import SimpleNamespace
 
